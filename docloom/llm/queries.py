@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docloom.llm import mixing, sharding
+from docloom.llm import mixing, ngram_join, sharding
 from docloom.session import table
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), n=4, percent=85)
+
+
 def op4_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("text_crc32", F.crc32(F.col("text").cast("binary")))
     return sharding.shard(docs).select(
@@ -21,6 +25,7 @@ def op9_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_histogram_shards": op4_histogram_shards,
     "op9_systematic_mix": op9_systematic_mix,
 }
