@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docloom.llm import mixing, ngram_join, sharding
+from docloom.llm import decontaminate, mixing, ngram_join, sharding
 from docloom.session import table
 
 
@@ -24,10 +24,15 @@ def op9_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op10_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_histogram_shards": op4_histogram_shards,
     "op9_systematic_mix": op9_systematic_mix,
+    "op10_pigeonhole_decontamination": op10_pigeonhole_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {}
