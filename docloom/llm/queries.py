@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docloom.llm import decontaminate, mixing, ngram_join, sharding
+from docloom.llm import ann, decontaminate, language, mixing, ngram_join, quality, sharding
 from docloom.session import table
 
 
+def op1_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0)
+
+
+def op2_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select(
+        "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted")
+    )
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), n=4, percent=85)
 
@@ -19,6 +31,14 @@ def op4_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_output_code_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.select("doc_id", "text", "lang"))
+    return language.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous"
+    )
+
+
 def op9_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix_plan(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -29,8 +49,11 @@ def op10_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
 
 
 QUERIES = {
+    "op1_prefix_forest": op1_prefix_forest,
+    "op2_additive_quality": op2_additive_quality,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_histogram_shards": op4_histogram_shards,
+    "op6_output_code_language": op6_output_code_language,
     "op9_systematic_mix": op9_systematic_mix,
     "op10_pigeonhole_decontamination": op10_pigeonhole_decontamination,
 }
