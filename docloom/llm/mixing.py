@@ -20,9 +20,10 @@ from __future__ import annotations
 import math
 import zlib
 
-from pyspark.sql import Column, DataFrame, functions as F, Window as W
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F, Window as W
 
-from docloom.session import Workspace
+from docloom.session import Workspace, ship
 
 WEIGHTS = (5, 2, 1)
 #: Rows that a cell has about.
@@ -32,9 +33,10 @@ LEAST_CELLS, MOST_CELLS = 16, 1 << 16
 CLASSES = 8
 
 
-def words(text: Column) -> Column:
+@F.pandas_udf("long")
+def words(text: pd.Series) -> pd.Series:
     """Number of words ``[^\\x20\\x09-\\x0D]+`` in a text; 0 for null."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    return text.map(lambda t: len(t.encode("utf-8", "surrogatepass").split()) if t else 0).astype("int64")  # bytes split at just these
 
 
 def targets(sizes: dict[str | None, int], weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> dict[str | None, float]:
@@ -70,13 +72,11 @@ def mix_plan(docs: DataFrame, seed: int = 17, text: str = "text", source: str =
     )
     rows = rows.withColumn("_class", F.when(F.col("size") < 1, -1).otherwise(F.floor(F.log2("size") * CLASSES)).cast("int"))
     spark = docs.sparkSession
-    with Workspace(spark, "mix") as work:
-        # Hash cells are few for small inputs and never more than MOST_CELLS: fine counts first, merged below.
-        fine = work.save(
-            rows.groupBy("_s", "_class", F.pmod("_h", F.lit(LEAST_CELLS)).alias("_c")).agg(F.count("*").alias("_n"), F.sum("size").alias("_w")),
-            "counts",
-        )
-        per_source = fine.groupBy("_s").agg(F.sum("_w").alias("w"), F.sum("_n").alias("n"), F.max("_n").alias("most")).collect()
+    ship(spark)
+    work = Workspace(spark, "mix")
+    light = work.save(rows.select("_s", "_h", "size", "_class"), "light", keep=True)
+    fine = light.groupBy("_s", "_class", F.pmod("_h", F.lit(LEAST_CELLS)).alias("_c")).agg(F.count("*").alias("_n"), F.sum("size").alias("_w"))
+    per_source = fine.groupBy("_s").agg(F.sum("_w").alias("w"), F.max("_n").alias("most")).collect()
     sizes = {None if r["_s"] == "null" else r["_s"][1:]: r["w"] for r in per_source}
     largest = max((r["most"] for r in per_source), default=1)
     cells = LEAST_CELLS * min(MOST_CELLS // LEAST_CELLS, max(1, 2 ** math.ceil(math.log2(largest / CELL_ROWS)) if largest > CELL_ROWS else 1))
@@ -91,7 +91,7 @@ def mix_plan(docs: DataFrame, seed: int = 17, text: str = "text", source: str =
     rows = rows.withColumn("_cell", F.pmod("_h", F.lit(cells)).cast("int"))
     before = W.partitionBy("_s").orderBy("_class", "_cell").rowsBetween(W.unboundedPreceding, -1)
     starts = (
-        rows.groupBy("_s", "_class", "_cell")
+        light.groupBy("_s", "_class", F.pmod("_h", F.lit(cells)).cast("int").alias("_cell"))
         .agg(F.count("*").alias("_n"))
         .withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .join(known, "_s")
