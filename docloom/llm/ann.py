@@ -142,7 +142,10 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, trees: int = TREES,
         mean = classes.select(*[F.avg(F.element_at("v", i + 1)).alias(f"m{i}") for i in range(dims)]).first()
         total = classes.count()
         hashes = Hashes(dims, trees, [float(m) for m in mean])
-        least = min(hashes.symbols, max(1, int(np.log(max(total, 2) / 4) / np.log(2 * hashes.axes))))
+        if total <= candidates:  # the ascent would end at the root, where any one tree holds all
+            hashes.trees, least = 1, 0
+        else:
+            least = min(hashes.symbols, max(1, int(np.log(total / 4) / np.log(2 * hashes.axes))))
 
         def strings(batches):
             for batch in batches:
