@@ -35,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, Window as W
 
 from docloom.llm.graph import components
 from docloom.session import Workspace, ship
@@ -49,23 +49,48 @@ _MULT = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 
 
+#: Bytes of a text that are hashed at once.
+PIECE = 1 << 20
+_rng = np.random.default_rng(11)
+_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_BASE = 0x9E3779B97F4A7C15 | 5
+_UP = np.cumprod(np.full(PIECE + 1, _BASE, np.uint64)) * np.uint64(pow(_BASE, -1, 1 << 64))
+_DOWN = np.cumprod(np.full(PIECE + 1, pow(_BASE, -1, 1 << 64), np.uint64)) * np.uint64(_BASE)
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """A 64-bit hash of each word between ASCII white space, by differences of running sums over the bytes."""
+    out = []
+    while raw:
+        cut = len(raw)
+        if cut > PIECE:
+            cut = max(raw.rfind(s, 0, PIECE) for s in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
+            if cut <= 0:  # a word longer than a piece
+                word, _, raw = (raw.split(None, 1) + [b"", b""])[0], 0, (raw.split(None, 1) + [b"", b""])[1]
+                out.append(np.array([xxhash.xxh3_64_intdigest(word)], np.uint64) if word else np.empty(0, np.uint64))
+                continue
+        part, raw = np.frombuffer(raw[:cut], np.uint8), raw[cut:]
+        edge = np.flatnonzero(np.diff(_SPACE[part], prepend=True, append=True))
+        start, end = edge[::2], edge[1::2]
+        run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[part] * _UP[: len(part)])])
+        h = (run[end] - run[start]) * _DOWN[start]
+        h = (h ^ (h >> np.uint64(32))) * _MIX[0] + (end - start).astype(np.uint64)
+        out.append(h ^ (h >> np.uint64(29)))
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
 class Shingler:
     """Sorted distinct hashes of the n-word shingles of a text; the whole sequence if it has fewer words."""
 
     def __init__(self, n: int):
-        self.n, self.known = n, {}
+        self.n = n
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-        if not words:
-            return np.empty(0, np.uint64)
-        known = self.known
-        if len(known) > 500_000:
-            known.clear()
-        for w in set(words):
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w)
-        ids = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        ids = word_hashes(text.encode("utf-8", "surrogatepass").lower()) if text else np.empty(0, np.uint64)
+        if not len(ids):
+            return ids
         n = min(self.n, len(ids))
         h = np.full(len(ids) - n + 1, n, np.uint64)
         for i in range(n):
@@ -73,7 +98,8 @@ class Shingler:
             h ^= h >> np.uint64(29)
         for m in _MIX:
             h = (h ^ (h >> np.uint64(33))) * m
-        return np.unique(h ^ (h >> np.uint64(33)))
+        h.sort()
+        return h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
 def _histogram(n: int):
@@ -81,10 +107,19 @@ def _histogram(n: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles, total = Shingler(n), np.zeros(1 << ORDER_BITS, np.uint32)
+        held: list[np.ndarray] = []
+
+        def flush() -> None:
+            if held:
+                total[:] += np.bincount(np.concatenate(held), minlength=len(total)).astype(np.uint32)
+                held.clear()
+
         for batch in batches:
             for text in batch["_text"]:
-                at = (shingles(text) >> np.uint64(64 - ORDER_BITS)).astype(np.int64)
-                np.add.at(total, at, 1)
+                held.append((shingles(text) >> np.uint64(64 - ORDER_BITS)).astype(np.int64))
+                if len(held) >= 1000 or len(held[-1]) > 1_000_000:
+                    flush()
+        flush()
         parts = total.reshape(-1, 1024)
         some = np.flatnonzero(parts.any(axis=1))
         yield pd.DataFrame({"range": some.astype(np.int32), "counts": [zlib.compress(parts[i].tobytes(), 1) for i in some]})
@@ -148,24 +183,20 @@ def _bloom_rows(size: int):
 
 
 def _segments(n: int, order, bloom):
-    """The segments of the sets whose signature may be a candidate's."""
+    """The segments of the sets of the documents whose key may be a candidate's."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles, place, bits = Shingler(n), order.value, bloom.value
         size = len(bits).bit_length() + 2
         for batch in batches:
-            rows: list[tuple] = []
             at = _bit(batch["_key"], size)
-            wanted = (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
-            for key, text in zip(batch["_key"][wanted := wanted.astype(bool)], batch["_text"][wanted]):
+            wanted = ((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
+            rows: list[tuple] = []
+            for key, text in zip(batch["_key"][wanted], batch["_text"][wanted]):
                 h = shingles(text)
-                if not len(h):
-                    continue
-                sig = xxhash.xxh3_128_hexdigest(h.tobytes())
                 fragment = np.searchsorted(place.cuts, place.ranks(h), "right")
-                for f in np.unique(fragment):
-                    rows.append((key, sig, int(f), h[fragment == f].view(np.int64)))
-            yield pd.DataFrame(rows, columns=["key", "sig", "f", "seg"])
+                rows += [(key, len(h), int(f), h[fragment == f].view(np.int64)) for f in np.unique(fragment)]
+            yield pd.DataFrame(rows, columns=["key", "n", "f", "seg"])
 
     return run
 
@@ -216,14 +247,17 @@ def _as_pairs(joined: DataFrame) -> DataFrame:
     return joined.select(a.alias("a"), b.alias("b"), na.alias("na"), nb.alias("nb")).distinct()
 
 
-def _pairs_that_link(pairs: DataFrame, segments: DataFrame, num: int) -> DataFrame:
-    """Those of the candidate pairs (a, b, na, nb) whose overlap, summed over the fragments, is enough."""
-    one = segments.select(F.col("node").alias("a"), "f", F.col("seg").alias("sa"))
-    two = segments.select(F.col("node").alias("b"), "f", F.col("seg").alias("sb"))
-    partial = pairs.withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1)))).join(one, ["a", "f"]).join(two, ["b", "f"])
-    partial = partial.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("o"))
-    summed = partial.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
-    return summed.where(100 * F.col("o") >= num * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
+def _pairs_that_link(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b, na, nb, ka, kb) whose overlap, counted by fragment and summed, is enough.
+
+    Rows of one document that is repeated give equal counts, of which one is taken.
+    """
+    side = lambda x: segments.select(F.col("key").alias(f"k{x}"), F.col("n").alias(f"n{x}"), "f", F.col("seg").alias(f"s{x}"))
+    each = pairs.withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
+    partial = each.join(side("a").hint("merge"), ["ka", "na", "f"]).join(side("b").hint("merge"), ["kb", "nb", "f"])
+    counted = partial.select("a", "b", "na", "nb", "f", F.size(F.array_intersect("sa", "sb")).cast("long").alias("o"))
+    summed = counted.groupBy("a", "b", "na", "nb", "f").agg(F.max("o").alias("o")).groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
+    return summed.where(100 * F.col("o") >= percent * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", ident: str = "doc_id") -> DataFrame:
@@ -246,28 +280,34 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, text: str
             .select("sig", F.col("rep.doc_id").alias("rep"), F.col("rep.key").alias("key"), "n", "prefix", "n_equal", F.monotonically_increasing_id().alias("node")),
             "classes",
         )
+        # A list of one n-gram in the order of its positions: its first entry is the hub, and lists of one entry go.
+        listed = W.partitionBy("t").orderBy("pos", "node")
         postings = classes.select("node", "n", F.posexplode("prefix").alias("pos", "t"))
-        shared = postings.groupBy("t").agg(F.count("*").alias("c")).where("c > 1").select("t")
-        postings = work.save(postings.join(shared, "t"), "postings")
-
-        wanted = classes.join(postings.select("node").distinct(), "node", "left_semi").select("sig", "key", "node")
-        bloom = spark.sparkContext.broadcast(_bloom(wanted.select("key")))
-        segments = keyed.mapInPandas(_segments(n, order, bloom), "key long, sig string, f int, seg array<long>")
-        segments = segments.join(wanted, ["sig", "key"]).groupBy("node", "f").agg(F.first("seg").alias("seg"))
-        segments = work.save(segments, "segments")
-
-        hubs = postings.groupBy("t").agg(F.min(F.struct("pos", "node", "n")).alias("h")).select("t", "h.*")
-        star = postings.alias("x").join(hubs.alias("y"), "t").where((F.col("x.node") != F.col("y.node")) & _may_link(percent))
+        postings = postings.withColumn("hub", F.first(F.struct("node", "n", "pos")).over(listed)).withColumn("next", F.lead("node").over(listed))
+        postings = work.save(postings.where((F.col("hub.node") != F.col("node")) | F.col("next").isNotNull()).drop("next"), "postings")
+
+        def linking(pairs: DataFrame) -> DataFrame:
+            """The pairs that link, by the sets of the documents that stand for the classes, read from the texts."""
+            keys = classes.select("node", "key")
+            named = pairs.join(keys.select(F.col("node").alias("a"), F.col("key").alias("ka")), "a").join(keys.select(F.col("node").alias("b"), F.col("key").alias("kb")), "b")
+            named = work.save(named, "pairs")
+            bloom = spark.sparkContext.broadcast(_bloom(named.select(F.explode(F.array("ka", "kb")).alias("key")).distinct()))
+            segments = work.save(keyed.mapInPandas(_segments(n, order, bloom), "key long, n long, f int, seg array<long>"), "segments")
+            return work.save(_pairs_that_link(named, segments, percent), "linked")
+
+        star = postings.where("hub.node <> node").select(F.struct("node", "n", "pos").alias("x"), F.col("hub").alias("y")).where(_may_link(percent))
         star = work.save(_as_pairs(star), "star")
-        linked = work.save(_pairs_that_link(star, segments, percent), "linked")
+        linked = linking(star)
 
         roots = components(linked, work)
-        rooted = postings.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = rooted.groupBy("t").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("t")
-        rooted = work.save(rooted.join(mixed, "t"), "rooted")
+        # Lists whose classes are all in one component are done; the others are joined with themselves where they lie.
+        rooted = postings.select("t", "node", "n", "pos").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        list_ = W.partitionBy("t")
+        rooted = rooted.withColumns({"low": F.min("root").over(list_), "high": F.max("root").over(list_)}).where("low <> high").drop("low", "high")
         cross = rooted.alias("x").join(rooted.alias("y"), "t").where((F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _may_link(percent))
         cross = work.save(_as_pairs(cross).join(star, ["a", "b"], "left_anti"), "cross")
-        linked = linked.unionByName(_pairs_that_link(cross, segments, percent))
+        if not cross.isEmpty():
+            linked = linked.unionByName(linking(cross))
 
         roots = components(linked, work)
         in_class = classes.select("node", "sig", "rep", "n_equal").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
