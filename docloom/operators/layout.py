@@ -10,7 +10,10 @@ order; the group is one document.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from docloom.functions import text as X
@@ -125,6 +128,18 @@ def _chains(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": group["doc_id"], "page": group["page"], "parts": pages})
 
 
+def chain_rows(rows: DataFrame, column: str) -> DataFrame:
+    """The same for documents that are one row, whose ``column`` is array<array<PART>>, a page after the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(column)
+            pages = [None if doc is None else chain_tables([list(page) for page in doc]) for doc in batch.column(at).to_pylist()]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(pages, batch.schema.field(at).type))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def chained(pages: DataFrame) -> DataFrame:
     """pages (doc_id, page, parts) with the tables of each document chained."""
     ship(pages.sparkSession)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docloom.functions import text as X
-from docloom.operators import chunking, json_blocks, store
+from docloom.operators import chunking, json_blocks, layout, store
 from docloom.operators.embedding import Provider, embed
-from docloom.sources import files as S, ooxml
+from docloom.sources import files as S, ooxml, pdf
 
 PAGED = ooxml.BLOCKS
 
@@ -16,8 +16,6 @@ def file_blocks(found: DataFrame) -> DataFrame:
     """Detected files (S.detected) with error and blocks: array<struct<page, b>>.
 
     Each type is its own branch of the plan, so that only its readers run on it.
-    PDF files need a layout reader: see :mod:`docloom.operators.layout`, which
-    starts from a table of laid-out pages.
     """
     none = F.array().cast(PAGED)
     unpaged = lambda blocks: F.transform(blocks, lambda b: F.struct(F.lit(None).cast("int").alias("page"), b.alias("b"))).cast(PAGED)
@@ -33,8 +31,11 @@ def file_blocks(found: DataFrame) -> DataFrame:
     for kind in ("word", "excel", "slides"):
         rows = ooxml.office_blocks(good.where(F.col("document_type") == kind), kind)
         out = out.unionByName(rows.withColumn("blocks", F.col("blocks").cast(PAGED)).select(*keep, "images", "blocks"))
-    pdf = good.where("document_type = 'pdf'").withColumn("error", F.lit("PDF 需要版面表输入（page_layout），此处不解析"))
-    return out.unionByName(pdf.withColumns({"images": F.lit(None).cast(ooxml.IMAGES), "blocks": none}).select(*keep, "images", "blocks"))
+    rows = pdf.with_pages(good.where("document_type = 'pdf'"))
+    parts = F.transform("pages", lambda p: layout.page_parts(p["items"], p["page_height"])).cast(f"array<array<{layout.PART}>>")
+    rows = layout.chain_rows(rows.select(*keep, "images", F.transform("pages", lambda p: p["page"]).alias("_pages"), parts.alias("_parts")), "_parts")
+    paged = F.zip_with("_pages", "_parts", lambda p, q: F.transform(layout.page_blocks(q, p), lambda b: F.struct(p.alias("page"), b.alias("b"))))
+    return out.unionByName(rows.withColumn("blocks", F.coalesce(F.flatten(paged).cast(PAGED), none)).select(*keep, "images", "blocks"))
 
 
 def block_rows(cut: DataFrame) -> DataFrame:
