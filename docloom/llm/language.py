@@ -51,7 +51,8 @@ def _fold() -> np.ndarray:
 def counts(texts: list[str | None]) -> np.ndarray:
     """Hashed n-gram counts of each text; rows of texts without letters are 0."""
     out = np.zeros((len(texts), DIMS), np.float32)
-    pieces = [(i, t[a : a + PIECE + 2]) for i, t in enumerate(texts) if t for a in range(0, max(1, len(t) - 2), PIECE)]
+    # (row, text with a character of context on either side, characters of context before)
+    pieces = [(i, t[max(0, a - 1) : a + PIECE + 1], min(a, 1)) for i, t in enumerate(texts) if t for a in range(0, len(t), PIECE)]
     at = 0
     while at < len(pieces):
         end, size = at, 0
@@ -60,33 +61,42 @@ def counts(texts: list[str | None]) -> np.ndarray:
             end += 1
         own = pieces[at:end]
         at = end
-        joined = "  ".join(t for _, t in own) + "  "
-        codes = _fold()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
-        row = np.repeat(np.array([i for i, _ in own]), [len(t) + 2 for _, t in own])
-        first, where = row[0], row - row[0]
-        rows = int(where[-1]) + 1
-        a, b, c = codes, codes[1:], codes[2:]
-        letter = a != 32
+        codes = _fold()[np.frombuffer((" " + "".join(f"{t}  " for _, t, _ in own)).encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.uint64)
+        starts = np.cumsum([1] + [len(t) + 2 for _, t, _ in own])[:-1]
+        letter = codes != 32
+        row = np.concatenate([[0], np.repeat(np.array([i for i, _, _ in own]) - own[0][0], [len(t) + 2 for _, t, _ in own])])
+        for start, (_, t, before) in zip(starts, own):  # what is context here is counted in its own piece
+            if before:
+                letter[start] = False
+            if len(t) > PIECE + before:
+                letter[start + PIECE + before :][: len(t) - PIECE - before] = False
+        c = np.flatnonzero(letter)
+        here, last, next_ = codes[c], codes[c - 1], codes[np.minimum(c + 1, len(codes) - 1)]
+        step, rows = np.uint64(0x1F1F3), int(row[-1]) + 1
         total = np.zeros(rows * DIMS)
-        for gram, fine in (
-            (a.astype(np.uint64), letter),
-            (a[:-1] * np.uint64(0x1F1F3) + b + np.uint64(1 << 40), letter[:-1] | letter[1:]),
-            ((a[:-2] * np.uint64(0x1F1F3) + b[:-1]) * np.uint64(0x1F1F3) + c + np.uint64(1 << 50), letter[1:-1]),
+        edge = last == 32
+        for gram, of in (
+            (here, row[c]),
+            (here * step + next_ + np.uint64(1 << 40), row[c]),
+            (np.uint64(32) * step + here[edge] + np.uint64(1 << 40), row[c][edge]),
+            ((last * step + here) * step + next_ + np.uint64(1 << 50), row[c]),
         ):
-            place = (gram[fine] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(52)).astype(np.int64)
-            total += np.bincount(where[: len(gram)][fine] * DIMS + place, minlength=rows * DIMS)
-        out[first : first + rows] += total.reshape(rows, DIMS).astype(np.float32)
+            place = (gram * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(52)).astype(np.int64)
+            total += np.bincount(of * DIMS + place, minlength=rows * DIMS)
+        out[own[0][0] : own[0][0] + rows] += total.reshape(rows, DIMS).astype(np.float32)
     return out
 
 
 def _shares(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     x = counts(texts)
     total = x.sum(1)
-    return np.sqrt(x / np.maximum(total, 1)[:, None]), total > 0
+    return np.sqrt(x / np.maximum(total, 1)[:, None]), np.array([bool(t) and any(map(str.isalpha, t)) for t in texts], bool)
 
 
 def codewords(n: int) -> np.ndarray:
     """n rows of -1 and 1: all distinct splits for up to 5 languages, else random ones far apart."""
+    if n < 2:
+        return np.ones((n, 0))
     if n <= 5:
         bits = [[1 if (s >> i) & 1 else -1 for i in range(n)] for s in range(1, 2 ** (n - 1))]
         return np.array(bits).T.reshape(n, -1)

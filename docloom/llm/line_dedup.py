@@ -9,11 +9,10 @@ longest common prefix is at least 2**k; lengths between powers of two combine tw
 overlapping ranks.  The doubling ends at ``min_lines``, as deeper ranks decide
 nothing.
 
-A run of lines that stands earlier in the corpus is deleted if it has at least
-``min_lines`` lines or ``min_words`` words.  As every longer run is covered by such
-runs of at most ``min_lines`` lines, what goes is exactly the union of the maximal
-repeated runs that qualify; their first places stay.  Lines of white space do not
-break a run and go with it; a run of nothing else never qualifies.
+A run of lines that stands earlier in the corpus is deleted if it has ``min_words``
+words, or ``min_lines`` lines with a word among them.  Longer runs are covered by
+such runs of at most ``min_lines`` lines, so what goes is their union; the first
+places stay.  Lines of white space do not break a run and go with it.
 
 Lines that stand once in the corpus leave after the first count.  Ranks come from
 partial aggregates and joins, so a line in a third of all documents is neither

@@ -21,7 +21,7 @@ import math
 import zlib
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, Window as W
+from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from docloom.session import Workspace, ship
 
@@ -33,12 +33,15 @@ LEAST_CELLS, MOST_CELLS = 16, 1 << 16
 CLASSES = 8
 
 
-@F.pandas_udf("long")
-def words(text: pd.Series) -> pd.Series:
-    """Number of words ``[^\\x20\\x09-\\x0D]+`` in a text; 0 for null."""
+def _words(text: pd.Series) -> pd.Series:
     return text.map(lambda t: len(t.encode("utf-8", "surrogatepass").split()) if t else 0).astype("int64")  # bytes split at just these
 
 
+def words(text: Column) -> Column:
+    """Number of words ``[^\\x20\\x09-\\x0D]+`` of a text; 0 for null."""
+    return F.pandas_udf(_words, "long")(text)
+
+
 def targets(sizes: dict[str | None, int], weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> dict[str | None, float]:
     """Target words of each source: shares of ``share`` times all words by weight, none above ``most`` times its own."""
     names = sorted(s for s in sizes if s is not None) + [None] * (None in sizes)
