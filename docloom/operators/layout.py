@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from docloom.functions import text as X
+from docloom.functions.arrays import bound
 from docloom.operators.chunking import BLOCK, fit
 from docloom.session import ship
 
@@ -89,11 +90,6 @@ def page_parts(items: Column, height: Column) -> Column:
     return F.filter(parts, lambda p: p["text"].isNotNull() & (p["text"] != ""))
 
 
-def bound(value: Column, body) -> Column:
-    """body(value) with the value computed once, however often the body names it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _by_place(a: Column, b: Column) -> Column:
     out = F.lit(0)
     for c in ("n", "r", "x", "row"):

@@ -32,7 +32,7 @@ _SQL_OUTCOMES = f"""{SQL_PAIRS}, ranked as (select query_id, vec_id, row_number(
 def _outcomes(spark, d):
     q, e = vectors(spark, d)
     hits = retrieval.search(q, e, 5, F.col("vec_id") != F.col("query_id"), "vec_id").select(F.col("query_id").alias("id"), F.col("vec_id").alias("block_id"), "rank")
-    cases = F.broadcast(q.select(F.col("query_id").alias("id"), "asked"))  # 20 rows
+    cases = q.select(F.col("query_id").alias("id"), "asked")
     pairs = e.select(F.col("vec_id").alias("block_id"), "label").join(cases, (F.col("label") == F.col("asked")) & (F.col("block_id") != F.col("id")))
     return evaluate.outcomes(hits, pairs)
 
@@ -98,7 +98,7 @@ def eval_gate(spark, d):
 
 
 _CASES = """cases as (select item_id as pos, case when item_id % 9 = 0 then ' ' when item_id % 7 = 0 then 'dup' else 'c' || item_id end as id,
-  case when item_id % 5 = 0 then null else substr(text, 1, (item_id % 6 + 1)::int) end as query, case when item_id % 4 = 0 then '' else 'doc' end as expect_doc, 'anchor' as anchor from benchmark)"""
+  case when item_id % 5 = 0 then null else repeat('q', (item_id % 6 + 1)::int) end as query, case when item_id % 4 = 0 then '' else 'doc' end as expect_doc, 'anchor' as anchor from benchmark)"""
 
 
 @query(
@@ -112,7 +112,7 @@ def f11_w5_golden_validation(spark, d):
     made = table(spark, d, "benchmark").selectExpr(
         "item_id as pos",
         "case when item_id % 9 = 0 then ' ' when item_id % 7 = 0 then 'dup' else 'c' || item_id end as id",
-        "case when item_id % 5 = 0 then null else substr(text, 1, cast(item_id % 6 + 1 as int)) end as query",
+        "case when item_id % 5 = 0 then null else repeat('q', cast(item_id % 6 + 1 as int)) end as query",
         "case when item_id % 4 = 0 then '' else 'doc' end as expect_doc",
         "'anchor' as anchor",
     )
@@ -154,10 +154,10 @@ def j7_citation_lookup(spark, d):
 
 @query(
     """select doc_id, (('0x' || substr(md5(g), 1, 8))::bigint % 256)::int as bucket, count(*) as n
-    from (select doc_id, substr(t, i, 2) as g from (select doc_id, substr(text, 1, 200) as t from documents), unnest(range(1, length(t))) as u(i)) group by all"""
+    from (select doc_id, substr(t, i, 2) as g from (select doc_id, text as t from documents), unnest(range(1, length(t))) as u(i)) group by all"""
 )
 def a9_bigram_histogram(spark, d):
-    return embedding.histogram(docs_of(spark, d, "text"), F.substring("text", 1, 200))
+    return embedding.histogram(docs_of(spark, d, "text"), F.col("text"))
 
 
 @query(f"with {SQL_BLOCKS} select block_id, title from blocks qualify row_number() over (partition by md5(text) order by doc_id, block_seq) = 1")
@@ -175,7 +175,7 @@ def v2_v3_newest_jobs(spark, d):
 @query(
     """select doc_id, string_agg(w, ' ' order by (round_even(y / 8.0, 0)), x, i) as read_order from (
       select doc_id, i, trim(string_split(text, ' ')[i]) as w, ((i * 37 + doc_id) % 100) * 4.0 as y, ((i * 53) % 7) * 50.0 as x
-      from documents, unnest(range(1, least(20, len(string_split(text, ' '))) + 1)) as u(i)) where w <> '' group by doc_id"""
+      from documents, unnest(range(1, len(string_split(text, ' ')) + 1)) as u(i)) where w <> '' group by doc_id"""
 )
 def p1_p3_p4_reading_order(spark, d):
     span = lambda w: F.struct(w.alias("text"), F.lit(0.0).alias("x0"), F.lit(1.0).alias("x1"), F.lit(10.0).alias("size"))
@@ -189,7 +189,7 @@ def p1_p3_p4_reading_order(spark, d):
             none.cast("array<array<string>>").alias("rows"), none.cast("string").alias("image_id"),
         )
 
-    found = F.transform(F.slice(F.split("text", " ", -1), 1, 20), item).cast(layout.ITEMS)
+    found = F.transform(F.split("text", " ", -1), item).cast(layout.ITEMS)
     parts = layout.page_parts(found, F.lit(800.0))
     return docs_of(spark, d, F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("read_order")).where("read_order <> ''")
 
@@ -210,9 +210,9 @@ def _pages(spark, d):
         lines.alias("lines"), rows.alias("rows"), F.lit(None).cast("string").alias("image_id"),
     )
     no_lines, no_rows = F.lit(None).cast("array<array<struct<text:string,x0:double,x1:double,size:double>>>"), F.lit(None).cast("array<array<string>>")
-    cells = F.transform(lines, lambda x: F.slice(F.split(x, " ", -1), 1, 4))
+    cells = F.transform(lines, lambda x: F.split(x, " ", -1))
     items = F.array(
-        item("table", 10.0, 60.0, no_lines, F.slice(cells, 1, 3)),
+        item("table", 10.0, 60.0, no_lines, cells),
         item("text", 100.0, 500.0, F.transform(lines, lambda x: F.array(span(x))), no_rows),
         item("table", 700.0, 790.0, no_lines, cells),
     ).cast(layout.ITEMS)

@@ -5,37 +5,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docloom.functions import text as X
-from docloom.operators import chunking, json_blocks, layout, store
+from docloom.operators import chunking, images, json_blocks, layout, quality_gate, store
 from docloom.operators.embedding import Provider, embed
+from docloom.session import Workspace
 from docloom.sources import files as S, ooxml, pdf
 
 PAGED = ooxml.BLOCKS
 
 
 def file_blocks(found: DataFrame) -> DataFrame:
-    """Detected files (S.detected) with error and blocks: array<struct<page, b>>.
+    """Detected files (S.detected) with error, quality (of PDF pages), images, and blocks: array<struct<page, b>>.
 
     Each type is its own branch of the plan, so that only its readers run on it.
     """
-    none = F.array().cast(PAGED)
-    unpaged = lambda blocks: F.transform(blocks, lambda b: F.struct(F.lit(None).cast("int").alias("page"), b.alias("b"))).cast(PAGED)
-    keep = [c for c in found.columns if c not in ("content",)]
-    failed = found.where(F.col("error").isNotNull() | F.col("document_type").isNull()).withColumn("blocks", none).withColumn("images", F.lit(None).cast(ooxml.IMAGES))
-    out = failed.select(*keep, "images", "blocks")
+    none, no_images, no_quality = F.array().cast(PAGED), F.lit(None).cast(ooxml.IMAGES), F.lit(None).cast(quality_gate.QUALITY)
+    unpaged = lambda blocks: F.transform(blocks, lambda b: F.struct(F.lit(None).cast("int").alias("page"), b.alias("b")))
+    keep = [c for c in found.columns if c not in ("content", "error", "images", "blocks", "quality")]
+
+    def shaped(rows: DataFrame, blocks: Column, images: Column = no_images, quality: Column = no_quality) -> DataFrame:
+        return rows.select(*keep, "error", quality.alias("quality"), images.cast(ooxml.IMAGES).alias("images"), blocks.cast(PAGED).alias("blocks"))
+
     good = found.where(F.col("error").isNull())
-    texts = good.where(F.col("document_type").isin("markdown", "txt", "json")).withColumn("_text", S.as_text(F.col("content"))).withColumn("images", F.lit(None).cast(ooxml.IMAGES))
+    of = lambda kind: good.where(F.col("document_type") == kind)
+    out = shaped(found.where(F.col("error").isNotNull() | F.col("document_type").isNull()), none)
     for kind, cut in (("markdown", chunking.markdown), ("txt", chunking.plain_text)):
-        out = out.unionByName(texts.where(F.col("document_type") == kind).withColumn("blocks", unpaged(cut(F.col("_text")))).select(*keep, "images", "blocks"))
-    parsed = json_blocks.with_json(texts.where("document_type = 'json'").drop("error"), "_text").withColumn("blocks", unpaged(F.col("blocks")))
-    out = out.unionByName(parsed.select(*keep, "images", "blocks"))
+        out = out.unionByName(shaped(of(kind).withColumn("_text", S.as_text(F.col("content"))), unpaged(cut(F.col("_text")))))
+    parsed = json_blocks.with_json(of("json").withColumn("_text", S.as_text(F.col("content"))).drop("error"), "_text")
+    out = out.unionByName(shaped(parsed, unpaged(F.col("blocks"))))
     for kind in ("word", "excel", "slides"):
-        rows = ooxml.office_blocks(good.where(F.col("document_type") == kind), kind)
-        out = out.unionByName(rows.withColumn("blocks", F.col("blocks").cast(PAGED)).select(*keep, "images", "blocks"))
-    rows = pdf.with_pages(good.where("document_type = 'pdf'"))
+        rows = ooxml.office_blocks(of(kind), kind)
+        out = out.unionByName(shaped(rows, F.col("blocks"), F.col("images")))
+    rows = pdf.with_pages(of("pdf"))
     parts = F.transform("pages", lambda p: layout.page_parts(p["items"], p["page_height"])).cast(f"array<array<{layout.PART}>>")
-    rows = layout.chain_rows(rows.select(*keep, "images", F.transform("pages", lambda p: p["page"]).alias("_pages"), parts.alias("_parts")), "_parts")
+    quality = quality_gate.document_quality(F.col("pages"), pdf.judgement).cast(quality_gate.QUALITY)
+    rows = rows.select(*keep, "error", "images", quality.alias("quality"), F.transform("pages", lambda p: p["page"]).alias("_pages"), parts.alias("_parts"))
+    rows = layout.chain_rows(rows, "_parts")
     paged = F.zip_with("_pages", "_parts", lambda p, q: F.transform(layout.page_blocks(q, p), lambda b: F.struct(p.alias("page"), b.alias("b"))))
-    return out.unionByName(rows.withColumn("blocks", F.coalesce(F.flatten(paged).cast(PAGED), none)).select(*keep, "images", "blocks"))
+    return out.unionByName(shaped(rows, F.coalesce(F.flatten(paged).cast(PAGED), none), F.col("images"), F.col("quality")))
 
 
 def block_rows(cut: DataFrame) -> DataFrame:
@@ -60,16 +66,27 @@ def block_rows(cut: DataFrame) -> DataFrame:
     )
 
 
-def ingest(spark: SparkSession, paths: list[str], target: str, now: Column | None = None, provider: Provider | None = None, rebuild: bool = False) -> DataFrame:
+def ingest(
+    spark: SparkSession, paths: list[str], target: str, now: Column | None = None, provider: Provider | None = None, rebuild: bool = False, image_folder: str | None = None
+) -> DataFrame:
     """Brings files into the snapshots at ``target``; one report row a file.  Files that fail do not touch the others."""
     now = F.current_timestamp() if now is None else now
     cut = file_blocks(S.detected(S.read_files(spark, paths)))
-    return ingest_blocks(cut, target, now, provider, rebuild)
-
-
-def ingest_blocks(cut: DataFrame, target: str, now: Column, provider: Provider | None = None, rebuild: bool = False) -> DataFrame:
-    reports = store.Snapshots(cut.sparkSession, target).upsert(block_rows(cut), embed(provider), now, rebuild)
-    joined = cut.select("doc_id", "file_name", "document_type", "detected_by", "error", F.size("blocks").alias("_n")).join(reports, "doc_id", "left")
+    return ingest_blocks(cut, target, now, provider, rebuild, image_folder)
+
+
+def ingest_blocks(cut: DataFrame, target: str, now: Column, provider: Provider | None = None, rebuild: bool = False, image_folder: str | None = None) -> DataFrame:
+    """The same from cut files.  Files are read once: what was cut is kept in the shared folder for the store, the images and the report."""
+    spark = cut.sparkSession
+    cut = Workspace(spark, "ingest").save(cut, "cut", keep=True)
+    reports = store.Snapshots(spark, target).upsert(block_rows(cut), embed(provider), now, rebuild)
+    rows = cut.select("doc_id", "file_name", "document_type", "detected_by", "quality", "error", F.size("blocks").alias("_n"), F.coalesce(F.size("images"), F.lit(0)).alias("images"))
+    saved = F.lit(0)
+    joined = rows.join(reports, "doc_id", "left")
+    if image_folder:
+        found = cut.select("doc_id", F.explode("images").alias("i")).select("doc_id", "i.*")
+        fresh = images.save(found, image_folder, now).groupBy("doc_id").agg(F.count("*").alias("_saved"))
+        joined, saved = joined.join(fresh, "doc_id", "left"), F.coalesce("_saved", F.lit(0))
     count = lambda c: F.coalesce(F.col(c), F.lit(0))
     return joined.select(
         F.col("file_name").alias("source_file"),
@@ -77,9 +94,12 @@ def ingest_blocks(cut: DataFrame, target: str, now: Column, provider: Provider |
         store.status(F.col("error").isNotNull(), F.col("_n"), count("stored")).alias("status"),
         F.col("document_type").alias("format"),
         "detected_by",
+        "quality",
         count("chunks").alias("chunks"),
         count("stored").alias("stored"),
         count("skipped").alias("skipped"),
+        "images",
+        saved.alias("images_saved"),
         F.lit("given" if provider else "mock").alias("provider"),
         F.lit(provider is None).alias("degraded"),
         "error",
@@ -100,5 +120,6 @@ def chunk_dump(blocks: DataFrame) -> DataFrame:
 def report_line(report: DataFrame) -> DataFrame:
     """(doc_id, line): a report as one line of text."""
     mark = F.element_at(F.create_map(*[F.lit(x) for x in ("ok", "OK ", "skipped", "SKIP", "failed", "FAIL")]), F.col("status"))
-    line = F.format_string("%s  %-32s %-10s块%4d 入%4d 跳%4d%s", mark, F.col("source_file"), F.coalesce("format", F.lit("None")), "chunks", "stored", "skipped", F.when(F.col("degraded"), " (mock降级)").otherwise(""))
+    cell = F.when(F.col("quality").isNull(), "-").otherwise(F.format_string("红%d/黄%d/绿%d", "quality.red", "quality.yellow", "quality.green"))
+    line = F.format_string("%s  %-32s %-10s块%4d 入%4d 跳%4d  %10s%s", mark, F.col("source_file"), F.coalesce("format", F.lit("None")), "chunks", "stored", "skipped", cell, F.when(F.col("degraded"), " (mock降级)").otherwise(""))
     return report.select("doc_id", F.concat(line, F.coalesce(F.concat(F.lit("\n       原因: "), "error"), F.lit(""))).alias("line"))

@@ -16,7 +16,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from docloom.operators import layout, quality_gate
 from docloom.session import ship
@@ -573,7 +573,13 @@ def page_rows(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.explode("pages").alias("p")).select("doc_id", "p.page", "p.page_height", "p.text", "p.items")
 
 
+def judgement(page) -> Column:
+    """The page gate's judgement of a page: a row, or an element of pages."""
+    count = lambda kind: F.size(F.filter(page["items"], lambda i: i["kind"] == kind))
+    return quality_gate.judgement(page["text"], count("table"), count("image"))
+
+
 def judged(pages: DataFrame) -> DataFrame:
     """The page gate on read pages."""
-    count = lambda kind: F.size(F.filter("items", lambda i: i["kind"] == kind))
-    return quality_gate.judged(pages, F.col("text"), count("table"), count("image"))
+    row = {c: F.col(c) for c in ("text", "items")}
+    return pages.withColumn("_j", judgement(row)).select("*", "_j.*").drop("_j")

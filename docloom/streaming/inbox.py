@@ -22,12 +22,9 @@ def watch(spark: SparkSession, folder: str, target: str, checkpoint: str, report
     stream = spark.readStream.format("binaryFile").schema(FILES).option("maxFilesPerTrigger", per_batch).load(folder)
 
     def batch(rows: DataFrame, number: int) -> None:
-        cut = ingest.file_blocks(S.detected(S.with_names(rows))).persist()
-        try:
-            done = ingest.ingest_blocks(cut, target, F.current_timestamp(), provider)
-            done.withColumns({"batch": F.lit(number), "enqueued_at": F.current_timestamp()}).write.mode("overwrite").parquet(f"{reports}/batch={number:09d}")
-        finally:
-            cut.unpersist()
+        cut = ingest.file_blocks(S.detected(S.with_names(rows)))
+        done = ingest.ingest_blocks(cut, target, F.current_timestamp(), provider)
+        done.withColumns({"batch": F.lit(number), "enqueued_at": F.current_timestamp()}).write.mode("overwrite").parquet(f"{reports}/batch={number:09d}")
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="5 seconds")).start()

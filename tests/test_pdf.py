@@ -71,3 +71,18 @@ def test_pdf_to_blocks_with_a_chained_table(spark):
     assert errors["a"] is None and errors["bad"] and "加密" in errors["locked"]
     pages = pdf.judged(pdf.page_rows(pdf.with_pages(files.with_names(df).where("path like '%a.pdf'")))).orderBy("page").collect()
     assert [(r["verdict"], r["tables"]) for r in pages] == [("红", 1), ("红", 1)]
+
+
+def test_report_holds_page_quality_and_images(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    page = text(50, 700, b"Enough words on this page to be over the least count of characters, so that it is green or so.") + b"q 50 0 0 20 10 30 cm /I1 Do Q"
+    (folder / "a.pdf").write_bytes(made(page, text(10, 10, b"x")))
+    now = F.lit("2026-01-01").cast("timestamp")
+    for saved in (1, 0):
+        r = ingest.ingest(spark, [str(folder)], str(tmp_path / "s"), now, image_folder=str(tmp_path / "i")).first()
+        assert (r["images"], r["images_saved"]) == (1, saved)
+        assert (r["quality"]["red"], r["quality"]["yellow"], r["quality"]["red_pages"]) == (1, 1, [2]) and r["quality"]["notes"][0].startswith("P2: ")
+    assert "红1/黄1/绿0" in ingest.report_line(ingest.ingest(spark, [str(folder)], str(tmp_path / "s"), now)).first()["line"]

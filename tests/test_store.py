@@ -78,9 +78,10 @@ def test_ingest_twice(spark, tmp_path):
     _inbox(folder)
     first = {r["doc_id"]: r for r in ingest.ingest(spark, [str(folder)], str(tmp_path / "s"), now()).collect()}
     assert {k: (r["status"], r["stored"]) for k, r in first.items()} == {"notes": ("ok", 3), "m": ("ok", 1), "p": ("ok", 2), "bad": ("failed", 0), "old": ("failed", 0)}
-    second = {r["doc_id"]: r for r in ingest.ingest(spark, [str(folder)], str(tmp_path / "s"), now()).collect()}
+    again = ingest.ingest(spark, [str(folder)], str(tmp_path / "s"), now())
+    second = {r["doc_id"]: r for r in again.collect()}
     assert {k: (r["status"], r["stored"]) for k, r in second.items() if k not in ("bad", "old")} == {"notes": ("skipped", 0), "m": ("skipped", 0), "p": ("skipped", 0)}
-    total = store.batch_summary(spark.createDataFrame(list(second.values()))).first()
+    total = store.batch_summary(again).first()
     assert (total["documents"], total["failed"], total["skipped"]) == (5, 2, 3)
 
 
