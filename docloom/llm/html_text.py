@@ -247,7 +247,7 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame
         return pd.Series([text_of(parse(h or ""), frozenset(t) if t is not None else frozenset()) for h, t in zip(html, template)], dtype=object)
 
     if known.isEmpty():
-        joined = rows.withColumn("template", F.lit(None).cast("array<long>"))
+        joined = rows.withColumn("_template", F.lit(None).cast("array<long>"))
     else:
-        joined = rows.join(known.withColumnRenamed("host", "_host"), "_host", "left")
-    return joined.select(*names, told(F.col(html), F.col("template")).alias("text"))
+        joined = rows.join(known.select(F.col("host").alias("_host"), F.col("template").alias("_template")), "_host", "left")
+    return joined.select(*names, told(F.col(html), F.col("_template")).alias("text"))

@@ -102,11 +102,11 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MI
         gone = repeated_lines(docs, work, min_lines, min_words, text, ident)
         run = F.col("i") - F.row_number().over(W.partitionBy("id", "h").orderBy("i"))
         runs = gone.withColumn("_run", run).groupBy("id", "h", "_run").agg(F.min("i").alias("start"), (F.max("i") + 1).alias("stop"))
-        gone = work.save(runs.groupBy("id", "h").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("removed")), "gone", keep=True)
+        gone = work.save(runs.groupBy(F.col("id").alias("_gone_id"), F.col("h").alias("_gone_h")).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("removed")), "gone", keep=True)
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed", "removed")]
     rows = docs.select(*names).withColumn("_h", F.xxhash64(text))
     # What goes grows with the corpus, so this is a sort-merge join at any size; the texts are shuffled once.
-    joined = rows.join(gone.hint("merge"), F.col(ident).eqNullSafe(gone["id"]) & (F.col("_h") == gone["h"]), "left").drop("id", "h", "_h")
+    joined = rows.join(gone.hint("merge"), F.col(ident).eqNullSafe(F.col("_gone_id")) & (F.col("_h") == F.col("_gone_h")), "left").drop("_gone_id", "_gone_h", "_h")
     lines = F.split(text, "\n", -1)
     inside = lambda i: F.exists("removed", lambda r: (i >= r["start"]) & (i < r["stop"]))
     kept = F.array_join(F.filter(F.transform(lines, lambda x, i: F.when(~inside(i), x)), lambda x: x.isNotNull()), "\n")

@@ -186,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
     return Model(x, np.array([r["y"] for r in found]))
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
     """docs with score (0 to 1); a column of that name is replaced."""
     ship(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(model)
@@ -196,9 +196,9 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for part in parts:
             yield pd.Series(known.value(_matrix(part)))
 
-    return docs.withColumn("score", scored(F.col(text)))
+    return docs.withColumn(name, scored(F.col(text)))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
     """The documents that score at least ``threshold``; columns as in docs."""
-    return score(docs, fit(docs, labels, **options)).where(F.col("score") >= threshold).select(*docs.columns)
+    return score(docs, fit(docs, labels, **options), name="_quality_score").where(F.col("_quality_score") >= threshold).select(*docs.columns)

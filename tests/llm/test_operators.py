@@ -233,7 +233,8 @@ def test_line_dedup(spark, min_lines, min_words):
     pool = ["l%d " % i * rng.choice([1, 2, 5]) for i in range(12)] + ["", " "]
     rows = [(i, "\n".join(rng.choice(pool) if rng.random() < 0.8 else f"u{rng.random()}" for _ in range(rng.randrange(1, 14)))) for i in range(40)]
     rows += [(50, None), (51, ""), (52, rows[3][1]), (53, "\n".join(["r r"] * 9))]
-    df = spark.createDataFrame([(i, t, "x") for i, t in rows], f"{DOCS}, removed string")
+    df = spark.createDataFrame([(i, t, "x", "y", "z") for i, t in rows], f"{DOCS}, removed string, id string, h string")
+    assert line_dedup.dedup_lines(df).select("id", "h").distinct().collect() == [("y", "z")]
     out = {r["doc_id"]: r for r in line_dedup.dedup_lines(df, min_lines, min_words).collect()}
     want = brute_lines(rows, min_lines, min_words)
     assert {d: r["text"] or "" for d, r in out.items()} == {d: t or "" for d, t in want.items()}
@@ -291,7 +292,7 @@ def test_html_templates_go_by_host(spark):
     rows = [(i, f"http://a.example/{i}", page(f"story {i}")) for i in range(8)]
     rows += [(20 + i, f"http://b.example/{i}", page("one copy")) for i in range(8)]  # the same article is no template
     rows += [(40, None, None), (41, "no host", ""), (42, "http://c.example", page("lone"))]
-    df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, text string")
+    df = spark.createDataFrame([(*r, "x", "t", "h") for r in rows], "page_id long, url string, html string, text string, template string, host string")
     out = {r["page_id"]: r["text"] for r in html_text.extract(df).collect()}
     assert out[3] == "story 3\n\nstory 3 text"
     assert out[21] == "one copy\n\nFollow us everywhere\n\none copy text" and out[42].startswith("lone")
