@@ -68,10 +68,13 @@ def _ahead(name: str, by: int) -> Column:
 def _joined(ranks: DataFrame, one: str, two: str, by: int, name: str) -> DataFrame:
     """Adds the rank of the lines that ``one`` here and ``two``, ``by`` lines on, make up."""
     pairs = ranks.withColumn("_two", _ahead(two, by))
-    classes = pairs.where(F.col(one).isNotNull() & F.col("_two").isNotNull()).groupBy(F.col(one).alias("_one"), "_two")
+    whole = F.col(one).isNotNull() & F.col("_two").isNotNull()
+    able, rest = pairs.where(whole), pairs.where(~whole)  # rows without a second part have no rank, and are not shuffled for one
     place = F.struct("id", "h", "i")
-    often = classes.agg(F.min(place).alias(name), F.max(place).alias("_last")).where(F.col(name) != F.col("_last")).drop("_last")
-    return pairs.join(often.withColumnRenamed("_two", "_t"), (F.col(one) == F.col("_one")) & (F.col("_two") == F.col("_t")), "left").drop("_one", "_two", "_t")
+    classes = able.groupBy(F.col(one).alias("_one"), F.col("_two").alias("_t")).agg(F.min(place).alias(name), F.max(place).alias("_last"))
+    often = classes.where(F.col(name) != F.col("_last")).drop("_last")
+    ranked = able.join(often, (F.col(one) == F.col("_one")) & (F.col("_two") == F.col("_t")), "left").drop("_one", "_t")
+    return ranked.unionByName(rest.withColumn(name, F.lit(None).cast(ranked.schema[name].dataType))).drop("_two")
 
 
 def repeated_lines(docs: DataFrame, work: Workspace, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, text: str = "text", ident: str = "doc_id") -> DataFrame:
