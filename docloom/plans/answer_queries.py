@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from docloom.functions import text as X
 from docloom.operators import embedding, evaluate, layout, qa, retrieval
 from docloom.plans import sqltext as Q
-from docloom.plans.registry import ORACLE_SQL, QUERIES, SQL_BLOCKS, SQL_PAIRS, doc_blocks, docs_of, query, vectors
+from docloom.plans.registry import ORACLE_SQL, QUERIES, SQL_BLOCKS, SQL_PAIRS, doc_blocks, docs_of, query, texts_of, vectors
 from docloom.session import ship, table
 
 __all__ = ["QUERIES", "ORACLE_SQL"]
@@ -20,7 +20,7 @@ _ANCHORED = f"""anchored as (select b.item_id, d.doc_id from benchmark b join do
 @query(f"with {_ANCHORED} select item_id::varchar as id, doc_id::varchar as block_id, doc_id % 20 <> item_id % 20 as elsewhere from anchored")
 def j2_anchor_location(spark, d):
     cases = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("id"), (F.col("item_id") % 20).cast("string").alias("expect_doc"), F.col("text").alias("anchor"))
-    blocks = docs_of(spark, d, F.col("doc_id").cast("string").alias("block_id"), "text").withColumn("doc_id", (F.col("doc_id") % 20).cast("string"))
+    blocks = texts_of(spark, d).withColumn("block_id", F.col("doc_id").cast("string")).withColumn("doc_id", (F.col("doc_id") % 20).cast("string"))
     return evaluate.located(cases, blocks).select("id", "block_id", "elsewhere")
 
 
@@ -157,7 +157,7 @@ def j7_citation_lookup(spark, d):
     from (select doc_id, substr(t, i, 2) as g from (select doc_id, text as t from documents), unnest(range(1, length(t))) as u(i)) group by all"""
 )
 def a9_bigram_histogram(spark, d):
-    return embedding.histogram(docs_of(spark, d, "text"), F.col("text"))
+    return embedding.histogram(texts_of(spark, d), F.col("text"))
 
 
 @query(f"with {SQL_BLOCKS} select block_id, title from blocks qualify row_number() over (partition by md5(text) order by doc_id, block_seq) = 1")
@@ -191,7 +191,7 @@ def p1_p3_p4_reading_order(spark, d):
 
     found = F.transform(F.split("text", " ", -1), item).cast(layout.ITEMS)
     parts = layout.page_parts(found, F.lit(800.0))
-    return docs_of(spark, d, F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("read_order")).where("read_order <> ''")
+    return texts_of(spark, d).select("doc_id", F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("read_order")).where("read_order <> ''")
 
 
 @query("select n_regionkey, string_agg(n_nationkey || ' | ' || n_name, chr(10) order by n_nationkey) as shown from nation group by n_regionkey")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
 from docloom.functions import text as X
 from docloom.operators import chunking as C, embedding, evaluate, images, json_blocks, layout, qa, quality_gate, retrieval, store
 from docloom.plans import ingest, sqltext as Q
-from docloom.session import table
+from docloom.session import spread, table
 from docloom.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,11 @@ def docs_of(spark, d, *columns):
     return table(spark, d, "documents").select("doc_id", *columns)
 
 
+def texts_of(spark, d, *columns):
+    """doc_id, text and more of all documents, over all cores: for work that is heavy to a text."""
+    return spread(table(spark, d, "documents").select("doc_id", "text", *columns))
+
+
 def _titled(spark, d, *columns):
     return docs_of(spark, d, *columns).withColumn("title", F.expr(TITLE))
 
@@ -61,22 +66,22 @@ def _sql_blocks(expr: str, source: str = "documents") -> str:
 
 @query(_sql_blocks(Q.split("text")))
 def c1_split_oversized(spark, d):
-    return _strings(docs_of(spark, d, C.split_oversized(F.col("text")).alias("b")))
+    return _strings(texts_of(spark, d).select("doc_id", C.split_oversized(F.col("text")).alias("b")))
 
 
 @query(_sql_blocks(Q.cut("replace(text, '. ', '! ')")))
 def c2_c3_sentences_with_overlap(spark, d):
-    return _strings(docs_of(spark, d, C.cut_paragraph(F.replace("text", F.lit(". "), F.lit("! "))).alias("b")))
+    return _strings(texts_of(spark, d).select("doc_id", C.cut_paragraph(F.replace("text", F.lit(". "), F.lit("! "))).alias("b")))
 
 
 @query(_sql_blocks(Q.pack("string_split(text, chr(10))")))
 def c4_pack_lines(spark, d):
-    return _strings(docs_of(spark, d, C.pack(F.split("text", "\n", -1)).alias("b")))
+    return _strings(texts_of(spark, d).select("doc_id", C.pack(F.split("text", "\n", -1)).alias("b")))
 
 
 @query(_sql_blocks(Q.windows("text")))
 def c5_hard_windows(spark, d):
-    return _strings(docs_of(spark, d, C.windows(F.col("text")).alias("b")))
+    return _strings(texts_of(spark, d).select("doc_id", C.windows(F.col("text")).alias("b")))
 
 
 _HEADED = "list_transform(string_split(text, chr(10)), lambda ln, li: case when doc_id % 3 = 0 and (li - 1) % 7 = 6 then '```' when (li - 1) % 5 = 0 then repeat('#', (1 + (doc_id + li - 1) % 3)::int) || ' ' || ln else ln end)"
@@ -87,7 +92,7 @@ def _headed(spark, d):
     line = lambda x, i: F.when((F.col("doc_id") % 3 == 0) & (i % 7 == 6), "```").when(
         i % 5 == 0, F.concat(F.repeat(F.lit("#"), (1 + (F.col("doc_id") + i) % 3).cast("int")), F.lit(" "), x)
     ).otherwise(x)
-    return docs_of(spark, d, F.array_join(F.transform(F.split("text", "\n", -1), line), "\n").alias("md"))
+    return texts_of(spark, d).select("doc_id", F.array_join(F.transform(F.split("text", "\n", -1), line), "\n").alias("md"))
 
 
 _SQL_MARKDOWN = f"""
@@ -130,7 +135,7 @@ def c6_c7_markdown_sections(spark, d):
 
 @query(_sql_blocks(Q.plain("replace(text, chr(10), chr(10) || chr(10))")))
 def c8_plain_text_paragraphs(spark, d):
-    return _text_blocks(docs_of(spark, d, C.plain_text(F.replace("text", F.lit("\n"), F.lit("\n\n"))).alias("b")))
+    return _text_blocks(texts_of(spark, d).select("doc_id", C.plain_text(F.replace("text", F.lit("\n"), F.lit("\n\n"))).alias("b")))
 
 
 @query(
@@ -177,7 +182,7 @@ def c12_records_supplier(spark, d):
 
 def doc_blocks(spark, d):
     """The blocks of documents whose lines are paragraphs, in the store's schema."""
-    docs = _titled(spark, d, "text", "source")
+    docs = texts_of(spark, d, "source").withColumn("title", F.expr(TITLE))
     cut = C.plain_text(F.replace("text", F.lit("\n"), F.lit("\n\n")))
     return C.blocks(docs.withColumn("doc_id", F.col("doc_id").cast("string")), cut, title=F.col("title"), source_file=F.col("source"))
 
@@ -283,7 +288,7 @@ verdicts as (select *, case when few or fffd > 0 or garbled then '红' when low
 
 
 def _judged(spark, d):
-    return quality_gate.judged(docs_of(spark, d, "source", F.expr(_PAGE).alias("t")), F.col("t"), F.col("doc_id") % 2, F.col("doc_id") % 3)
+    return quality_gate.judged(texts_of(spark, d, "source").select("doc_id", "source", F.expr(_PAGE).alias("t")), F.col("t"), F.col("doc_id") % 2, F.col("doc_id") % 3)
 
 
 @query(f"with {_SQL_QUALITY} select doc_id, chars, cjk, latin, fffd, round(lower_ratio, 6) as lower_ratio, verdict, reasons from verdicts")
