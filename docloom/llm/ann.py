@@ -1,17 +1,21 @@
 """Approximate nearest neighbours with a hash-prefix forest.
 
-A tree gives every vector a long hash string: each symbol is the nearest of the
+A tree gives every vector a string of symbols: each symbol is the nearest of the
 2m signed axes after a random rotation (cross-polytope hashing), so that near
-vectors share long prefixes.  A tree is the sorted array of its strings, cut into
-blocks of bounded size.  A query descends in every tree to its longest prefix
-match and takes what shares a prefix with it; then all trees ascend in step, level
-by level, and a candidate gains a point in every tree at every level where it is
-met, until ``candidates`` are held.  These are compared with the query exactly.
-
-The shortest prefix used is set by the number of vectors, so that it stands for a
-few to a few hundred vectors in a tree at any size.  A prefix range that crosses
-blocks is looked up in all of them.  Equal vectors are one entry, with their
-smallest ids, so a vector that owns a third of all rows costs no more than another.
+vectors share long prefixes.  The vectors are dealt by their hash into shards of
+bounded size, and every shard holds a forest: the sorted arrays of its strings,
+one a tree.  A query descends in every tree of every shard to its longest prefix
+match; then the trees of a shard ascend in step, level by level, and a candidate
+gains a point in every tree at every level where it is met, until ``wanted``
+candidates are met, at the root if need be, where all are.  The ``wanted`` with most
+points, all that have as many points as the last of them, and all that have nearly
+all points (a tight cluster) are compared with the query exactly.
+
+``wanted`` follows the size of a shard, and the number of shards the size of the
+table, so more trees and candidates serve a larger table.  A shard is a sample of
+the table: what it must find are at most its own nearest, so recall doesn't fall
+as shards are added.  Equal vectors are one entry, with their smallest ids, so a
+vector that owns a third of all rows costs no more than another.
 
 Cases: vectors that are null, empty, zero, of another length than most, or hold a
 null or non-finite component take no part, as queries or candidates; rows equal
@@ -21,15 +25,24 @@ ties go to the smaller id; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from docloom.session import Workspace, ship
 
-TREES, CANDIDATES = 64, 4096
-#: Coordinates of a rotation; bits of a hash string; entries of a block; vectors of a shard.
-AXES, STRING_BITS, BLOCK, SHARD = 64, 56, 65_536, 16_384
+TREES = 128
+#: Share of all points from which strings don't tell candidates apart, so that all of them are compared.
+ALIKE = 0.9
+#: Coordinates of a rotation; bits of a hash string; vectors of a shard, and the least number of shards; queries a task takes.
+AXES, STRING_BITS, SHARD, SHARDS, SLAB = 64, 28, 65_536, 8, 8192
+
+
+def wanted_of(size: int) -> int:
+    """Candidates that the trees of a shard of ``size`` vectors ascend to."""
+    return math.ceil(16 * math.sqrt(size))
 
 
 class Hashes:
@@ -48,16 +61,17 @@ class Hashes:
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
         """Rows of ``trees`` codes."""
-        x = x.astype(np.float32) - self.mean
         out = np.zeros((len(x), self.trees), np.int64)
-        row = np.arange(len(x))[:, None]
-        col = np.arange(self.symbols)[None]
         for t in range(self.trees):
-            p = (x @ self.rotations(t)).reshape(len(x), self.symbols, self.axes)
-            at = np.abs(p).argmax(2)
-            symbol = 2 * at + (p[row, col, at] > 0)
-            for s in range(self.symbols):
-                out[:, t] = (out[:, t] << self.bits) | symbol[:, s]
+            turn = self.rotations(t)
+            for a in range(0, len(x), 1024):
+                part = x[a : a + 1024].astype(np.float32) - self.mean
+                row, col = np.arange(len(part))[:, None], np.arange(self.symbols)[None]
+                p = (part @ turn).reshape(len(part), self.symbols, self.axes)
+                at = np.abs(p).argmax(2)
+                symbol = 2 * at + (p[row, col, at] > 0)
+                for s in range(self.symbols):
+                    out[a : a + 1024, t] = (out[a : a + 1024, t] << self.bits) | symbol[:, s]
         return out
 
 
@@ -67,62 +81,70 @@ def usable(vector: Column) -> Column:
     return F.coalesce(fine & F.exists(vector, lambda v: v != 0), F.lit(False))
 
 
-def _look_up(bits: int, symbols: int, least: int, most: int):
-    """Entries of a block that share at least ``least`` symbols with each query, the best ``most`` of them."""
-
-    def run(entries: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        order = np.argsort(entries["code"].to_numpy(), kind="stable")
-        code, cid = entries["code"].to_numpy(np.int64)[order], entries["cid"].to_numpy(np.int64)[order]
-        shift, out = bits * (symbols - least), []
-        for q, own in zip(queries["q"], queries["own"]):
-            low = (own >> shift) << shift
-            a, b = np.searchsorted(code, low), np.searchsorted(code, low + (1 << shift) - 1, "right")
-            at = np.searchsorted(code, own)
-            a, b = max(a, at - most), min(b, at + most)
-            if a >= b:
-                continue
-            diff = code[a:b] ^ own
-            shared = np.full(b - a, least, np.int16)
-            for level in range(least + 1, symbols + 1):
-                shared += (diff >> (bits * (symbols - level))) == 0
-            best = np.argsort(-shared, kind="stable")[:most] if b - a > most else slice(None)
-            out.append((q, cid[a:b][best], shared[best].astype(np.int32)))
-        return pd.DataFrame(out, columns=["q", "ids", "points"])
-
-    return run
-
-
-def _ascend(most: int):
-    def run(found: pd.DataFrame) -> pd.DataFrame:
-        ids, points = np.concatenate(list(found["ids"])), np.concatenate(list(found["points"]))
-        known, at = np.unique(ids, return_inverse=True)
-        total = np.bincount(at, points)
-        best = np.lexsort((known, -total))[:most]
-        return pd.DataFrame({"q": found["q"].iloc[:1], "ids": [known[best]]})
-
-    return run
-
+class Forest:
+    """The trees of a shard: for each the places of its vectors in the order of their strings."""
+
+    def __init__(self, codes: np.ndarray, bits: int, symbols: int):
+        self.bits, self.symbols = bits, symbols
+        self.order = np.argsort(codes, axis=0, kind="stable").T.astype(np.int32)
+        self.codes = np.take_along_axis(codes.T, self.order, 1)
+
+    def ranges(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends in every tree of what shares 1, 2 .. symbols with each query: level x tree x query."""
+        out = np.empty((2, self.symbols, len(self.codes), len(asked)), np.int32)
+        for level in range(self.symbols):
+            shift = self.bits * (self.symbols - 1 - level)
+            low = (asked >> shift) << shift
+            for t, code in enumerate(self.codes):
+                out[0, level, t] = np.searchsorted(code, low[:, t])
+                out[1, level, t] = np.searchsorted(code, low[:, t] + (1 << shift))
+        return out[0], out[1]
+
+    def candidates(self, start: np.ndarray, end: np.ndarray, wanted: int) -> np.ndarray:
+        """Places of the vectors to compare with one query, of its ranges: level x tree."""
+        points, level = np.zeros(self.order.shape[1], np.int64), self.symbols
+        sizes = (end - start).sum(1)
+        while level and np.count_nonzero(points) < wanted:
+            level -= 1
+            while level and sizes[level] < wanted:  # so few entries can't be enough vectors
+                level -= 1
+            points[:] = 0
+            for up in range(level, self.symbols):
+                met = [self.order[t, start[up, t] : end[up, t]] for t in np.flatnonzero(end[up] > start[up])]
+                points += np.bincount(np.concatenate(met), minlength=len(points)) if met else 0
+        if np.count_nonzero(points) < wanted:  # the root
+            return np.arange(len(points))
+        at_least = np.cumsum(np.bincount(points)[::-1])[::-1]
+        alike = int(ALIKE * len(self.codes) * (self.symbols - level))
+        return np.flatnonzero(points >= min(max(alike, 1), np.flatnonzero(at_least >= wanted)[-1]))
+
+
+def _nearest(k: int, hashes: Hashes, candidates: float | None):
+    """Of every query the k nearest candidates in a shard; ``candidates`` is a share of the shard's vectors."""
 
-def _nearest(k: int):
     def run(asked: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
-        order = np.argsort(shard["cid"].to_numpy())
-        cid, first = shard["cid"].to_numpy(np.int64)[order], shard["first"].to_numpy(np.int64)[order]
-        x = np.stack(list(shard["v"].iloc[order])).astype(np.float64) if len(shard) else np.empty((0, 0))
         out = []
-        for q, v, ids in zip(asked["q"], asked["qv"], asked["ids"]):
-            at = np.searchsorted(cid, np.asarray(ids, np.int64))
-            d = np.sqrt(((x[at] - np.asarray(v, np.float64)) ** 2).sum(1))
-            best = np.lexsort((first[at], d))[:k]
-            out += zip([q] * len(best), cid[at][best].tolist(), d[best].tolist())
-        return pd.DataFrame(out, columns=["q", "cid", "d"])
+        if len(asked) and len(shard):
+            shard = shard.sort_values("first")
+            cid, x = shard["cid"].to_numpy(np.int64), np.stack(list(shard["v"]))
+            wanted = max(k, wanted_of(len(x)) if candidates is None else math.ceil(candidates * len(x)))
+            forest = Forest(hashes(x), hashes.bits, hashes.symbols)
+            start, end = forest.ranges(np.stack(list(asked["codes"])))
+            for i, (q, v) in enumerate(zip(asked["q"], asked["qv"])):
+                at = forest.candidates(start[:, :, i], end[:, :, i], wanted)
+                d = np.sqrt(((x[at].astype(np.float64) - np.asarray(v, np.float64)) ** 2).sum(1))
+                best = np.argsort(d, kind="stable")[:k]  # ties to the smaller id
+                out.append(pd.DataFrame({"q": q, "cid": cid[at[best]], "d": d[best]}))
+        return pd.concat(out) if out else pd.DataFrame({"q": [], "cid": [], "d": []})
 
     return run
 
 
-def search(vectors: DataFrame, queries: Column, k: int = 10, trees: int = TREES, candidates: int = CANDIDATES, ident: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, queries: Column, k: int = 10, trees: int = TREES, candidates: int | None = None, ident: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row for which ``queries`` holds, its own id apart.
 
-    score is the Euclidean distance in double precision.
+    score is the Euclidean distance in double precision.  ``candidates`` is the number wanted of the whole table, in
+    place of ``wanted_of`` each shard.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -142,49 +164,23 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, trees: int = TREES,
         mean = classes.select(*[F.avg(F.element_at("v", i + 1)).alias(f"m{i}") for i in range(dims)]).first()
         total = classes.count()
         hashes = Hashes(dims, trees, [float(m) for m in mean])
-        if total <= candidates:  # the ascent would end at the root, where any one tree holds all
-            hashes.trees, least = 1, 0
-        else:
-            least = min(hashes.symbols, max(1, int(np.log(total / 4) / np.log(2 * hashes.axes))))
+        shards = max(SHARDS, -(-total // SHARD))
 
         def strings(batches):
             for batch in batches:
-                for a in range(0, len(batch), 1024):
-                    part = batch[a : a + 1024]
-                    yield pd.DataFrame({"cid": part["cid"], "codes": list(hashes(np.stack(list(part["v"]))))})
-
-        codes = classes.select("cid", "v").repartition(F.col("cid")).mapInPandas(strings, "cid long, codes array<long>")
-        codes = work.save(codes, "codes")
-        blocks = max(1, -(-total // BLOCK))
-        entries = codes.select("cid", F.posexplode("codes").alias("tree", "code"))
-        if blocks > 1:
-            cut = entries.groupBy("tree").agg(F.percentile_approx("code", [i / blocks for i in range(1, blocks)], 10 * blocks).alias("cut")).collect()
-            cuts = {r["tree"]: np.array(r["cut"], np.int64) for r in cut}
-        else:
-            cuts = {}
-        shift = hashes.bits * (hashes.symbols - least)
-
-        @F.pandas_udf("int")
-        def block(tree: pd.Series, code: pd.Series) -> pd.Series:
-            out = np.zeros(len(code), np.int32)
-            for t in tree.unique() if cuts else ():
-                own = (tree == t).to_numpy()
-                out[own] = np.searchsorted(cuts[t], code.to_numpy(np.int64)[own], "right")
-            return pd.Series(out)
-
-        low = F.expr(f"shiftleft(shiftright(code, {shift}), {shift})")
-        entries = entries.withColumn("block", block("tree", "code"))
-        asked = codes.join(asks.select("cid").distinct(), "cid", "left_semi").select(F.col("cid").alias("q"), F.posexplode("codes").alias("t", "code"))
-        asked = asked.withColumn("b", F.explode(F.sequence(block("t", low), block("t", low + ((1 << shift) - 1)))))
-        found = asked.select("q", "t", "b", F.col("code").alias("own")).groupBy("t", "b").cogroup(entries.groupBy("tree", "block"))
-        found = found.applyInPandas(lambda q, e: _look_up(hashes.bits, hashes.symbols, least, candidates)(e, q), "q long, ids array<long>, points array<int>")
-        chosen = work.save(found.groupBy("q").applyInPandas(_ascend(candidates), "q long, ids array<long>"), "chosen")
-
-        shards = max(8, -(-total // SHARD))
-        shard = lambda c: F.pmod(F.col(c), F.lit(shards)).cast("int")
-        spread = chosen.select("q", F.explode("ids").alias("cid")).groupBy("q", shard("cid").alias("s")).agg(F.collect_list("cid").alias("ids"))
-        spread = spread.join(classes.select(F.col("cid").alias("q"), F.col("v").alias("qv")), "q")
-        near = spread.groupBy("s").cogroup(classes.select("cid", "v", "first", shard("cid").alias("s2")).groupBy("s2")).applyInPandas(_nearest(k + 1), "q long, cid long, d double")
+                if len(batch):
+                    yield pd.DataFrame({"q": batch["cid"], "qv": batch["v"], "codes": list(hashes(np.stack(list(batch["v"]))))})
+
+        asked = classes.join(asks.select("cid").distinct(), "cid", "left_semi").select("cid", "v")
+        kind = classes.schema["v"].dataType.simpleString()
+        asked = work.save(asked.mapInPandas(strings, f"q long, qv {kind}, codes array<long>"), "asked")
+        slabs = max(1, -(-asked.count() // SLAB))
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        deal = lambda c, n: F.pmod(F.col(c), F.lit(n)).cast("int")
+        asked = asked.withColumn("slab", deal("q", slabs)).withColumn("shard", each(shards))
+        forest = classes.select("cid", "v", "first", deal("cid", shards).alias("shard"), each(slabs).alias("slab"))
+        share = None if candidates is None else candidates / total
+        near = asked.groupBy("shard", "slab").cogroup(forest.groupBy("shard", "slab")).applyInPandas(_nearest(k + 1, hashes, share), "q long, cid long, d double")
         near = work.save(near, "near", keep=True)
         firsts = W.partitionBy("q").orderBy("d", "first")
         near = near.join(classes.select("cid", "ids", "first"), "cid").withColumn("n", F.row_number().over(firsts)).where(F.col("n") <= k + 1)

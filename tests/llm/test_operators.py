@@ -74,6 +74,25 @@ def test_ann_forest_recall(spark):
     assert len(recall) == 30 and np.mean(recall) >= 0.9
 
 
+def recall_of(spark, x, mod, **more):
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<float>")
+    got = defaultdict(set)
+    for r in ann.search(df, F.col("vec_id") % mod == 0, 10, **more).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    recall, x = [], x.astype(float)
+    for q, found in got.items():
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        recall.append(len(found & set(np.argsort(d)[:10].tolist())) / 10)
+    return len(recall), np.mean(recall)
+
+
+def test_ann_recall_above_65536(spark):
+    x = np.random.default_rng(3).standard_normal((66_000, 64)).astype(np.float32)
+    n, recall = recall_of(spark, x / np.linalg.norm(x, axis=1, keepdims=True), 1000)
+    assert n == 66 and recall >= 0.9
+
+
 # ---- 2 quality
 
 
