@@ -93,6 +93,25 @@ def test_ann_recall_above_65536(spark):
     assert n == 66 and recall >= 0.9
 
 
+def test_ann_tight_cluster(spark):
+    """More vectors with one code than are wanted: all of them are compared."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((9000, 64)).astype(np.float32)
+    x[:8500] = x[0] + 1e-5 * rng.standard_normal((8500, 64)).astype(np.float32)
+    n, recall = recall_of(spark, x, 200)
+    assert n == 45 and recall >= 0.9
+
+
+def test_ann_forest_ascends_until_enough_are_met():
+    x = np.random.default_rng(5).standard_normal((4000, 64)).astype(np.float32)
+    hashes = ann.Hashes(64, ann.TREES, [0.0] * 64)
+    forest = ann.Forest(hashes(x), hashes.bits, hashes.symbols)
+    start, end = forest.ranges(hashes(x[:20]))
+    for i in range(20):
+        few, more, all_ = (forest.candidates(start[:, :, i], end[:, :, i], n) for n in (1, 500, 3999))
+        assert i in few and set(few) < set(more) and 500 <= len(more) < 4000 and len(all_) == 4000
+
+
 # ---- 2 quality
 
 
