@@ -156,8 +156,8 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, trees: int = TREES,
     dims = common["n"]
     with Workspace(spark, "ann") as work:
         rows = rows.where(F.size("v") == dims).withColumn("cid", F.xxhash64("v"))
-        # The k + 1 smallest ids of each vector, cut before the shuffle; enough for k besides the query's own.
-        few = rows.select("cid", "id", "v").withColumn("n", F.row_number().over(W.partitionBy("cid").orderBy("id"))).where(F.col("n") <= 2 * k + 2)
+        # The k + 1 smallest different ids of each vector; enough for k besides the query's own.
+        few = rows.select("cid", "id", "v").dropDuplicates(["cid", "id"]).withColumn("n", F.row_number().over(W.partitionBy("cid").orderBy("id"))).where(F.col("n") <= k + 1)
         classes = few.groupBy("cid").agg(F.first("v").alias("v"), F.slice(F.array_sort(F.collect_set("id")), 1, k + 1).alias("ids"))
         classes = work.save(classes.withColumn("first", F.element_at("ids", 1).cast("long")), "classes", keep=True)
         asks = work.save(rows.where("asks").select("id", "cid").distinct(), "asks", keep=True)

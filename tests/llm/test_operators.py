@@ -112,6 +112,13 @@ def test_ann_forest_ascends_until_enough_are_met():
         assert i in few and set(few) < set(more) and 500 <= len(more) < 4000 and len(all_) == 4000
 
 
+def test_ann_repeated_rows_hide_no_copies(spark):
+    rows = [(1, [1.0, 2.0])] * 40 + [(i, [1.0, 2.0]) for i in range(2, 9)] + [(100 + i, [5.0 + i, 1.0]) for i in range(20)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = ann.search(df, F.col("vec_id") == 1, 5).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(i, 0.0) for i in range(2, 7)]
+
+
 # ---- 2 quality
 
 
