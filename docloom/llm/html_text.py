@@ -1,16 +1,17 @@
 """Main text of web pages by removal of site templates.
 
 A page becomes a tree of elements.  Elements that never hold article text go by
-their tag, role, class or id.  What remains is hashed, subtree by subtree (tag and
-white-space-free text); Spark counts, host by host, on how many different pages
-each subtree occurs; subtrees that recur on many pages of their host are its
-template and go too.  Pages whose article is the same count once, so copies of an
-article do not make it a template.  The text of what is left inside the article
-(or main element, or body) is put out block by block.
-
-A subtree recurs if it is on at least ``LEAST`` different pages and a ``SHARE`` of
-the host's pages, so a host has at most 1 / SHARE times the elements of a page in
-its template, and that list may travel with its pages.
+their tag, role, class or id.  All subtrees of the page, those too, are hashed (tag
+and white-space-free text); Spark counts, host by host, on how many different pages
+each occurs inside the article and outside of it.  Pages whose article is the same
+count once, so copies of an article do not make it a template.  The text of what is
+left inside the article (or main element, or body) is put out block by block.
+
+A subtree inside the article is its host's template if it is outside the article on
+at least ``LEAST`` different pages and inside on two, however many pages the host
+has, or inside on ``LEAST`` pages and a ``SHARE`` of the host's.  Inside alone a fixed
+number would not do: sentences of articles recur.  Pages meet their templates by a
+join on host and subtree.
 
 Cases: null and empty html give the empty text; pages without a host form one
 host; truncated pages end all open elements; stray end tags are skipped; repeated
@@ -163,18 +164,19 @@ def articles(root: Node) -> list[Node]:
     return [root]
 
 
-def subtrees(root: Node) -> tuple[int, set[int]]:
-    """A hash of the article, and the hashes of the subtrees that may be a template's."""
+def subtrees(root: Node) -> tuple[int, set[int], set[int]]:
+    """A hash of the article, and the hashes of all subtrees inside it and of those outside or gone."""
     tops = articles(root)
-    todo, found = [x for top in tops for x in top.children if isinstance(x, Node)], set()
+    inner, found = {id(x) for x in tops}, (set(), set())
+    todo = [(root, 1)]
     while todo:
-        node = todo.pop()
-        if node.gone:
-            continue
-        if node.digest and node.tag not in INLINE:
-            found.add(node.digest)
-        todo += [x for x in node.children if isinstance(x, Node)]
-    return xxhash.xxh3_64_intdigest(",".join(str(x.digest) for x in tops)) >> 1, found
+        node, out = todo.pop()
+        top = id(node) in inner
+        out = 0 if top else 1 if node.gone else out
+        if node.digest and node.tag not in INLINE and not top:
+            found[out].add(node.digest)
+        todo += [(x, out) for x in node.children if isinstance(x, Node)]
+    return xxhash.xxh3_64_intdigest(",".join(str(x.digest) for x in tops)) >> 1, *found
 
 
 def text_of(root: Node, template: frozenset[int] | set[int]) -> str:
@@ -217,20 +219,22 @@ def host(url: Column) -> Column:
 def _hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
-        for h, page in zip(batch["_host"], batch["_html"]):
-            article, found = subtrees(parse(page or ""))
-            rows.append((h, 0, article))
-            rows += [(h, x, article) for x in found]
-        yield pd.DataFrame(rows, columns=["host", "subtree", "article"])
-
-
-def templates(pages: DataFrame) -> DataFrame:
-    """(host, template): the subtree hashes of each host's template; pages has _host and _html."""
-    seen = pages.select("_host", "_html").mapInPandas(_hashes, "host string, subtree long, article long").distinct()
-    counts = seen.groupBy("host", "subtree").agg(F.count("*").alias("n"))
+        for key, h, page in zip(batch["_key"], batch["_host"], batch["_html"]):
+            article, inside, outside = subtrees(parse(page or ""))
+            rows.append((key, h, 0, article, True))
+            rows += [(key, h, x, article, True) for x in inside]
+            rows += [(key, h, x, article, False) for x in outside]
+        yield pd.DataFrame(rows, columns=["key", "host", "subtree", "article", "inside"])
+
+
+def templates(seen: DataFrame) -> DataFrame:
+    """(host, subtree): each host's template inside articles; seen has the rows of _hashes."""
+    counts = seen.select("host", "subtree", "article", "inside").distinct().groupBy("host", "subtree")
+    counts = counts.agg(F.count_if("inside").alias("n"), F.count_if(~F.col("inside")).alias("outside"))
     whole = counts.where("subtree = 0").select("host", F.col("n").alias("pages"))
-    often = counts.where((F.col("subtree") != 0) & (F.col("n") >= LEAST)).join(whole.where(F.col("pages") >= LEAST), "host")
-    return often.where(F.col("n") >= SHARE * F.col("pages")).groupBy("host").agg(F.collect_list("subtree").alias("template"))
+    known = (F.col("outside") >= LEAST) & (F.col("n") >= 2)
+    often = counts.where((F.col("subtree") != 0) & (known | (F.col("n") >= LEAST))).join(whole, "host")
+    return often.where(known | (F.col("n") >= SHARE * F.col("pages"))).select("host", "subtree")
 
 
 def extract(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
@@ -238,9 +242,12 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame
     spark = pages.sparkSession
     ship(spark)
     names = [c for c in pages.columns if c != "text"]
-    rows = pages.select(*names, host(F.col(url)).alias("_host"))
+    rows = pages.select(*names, F.xxhash64(F.col(url).cast("string"), F.col(html).cast("string")).alias("_key"))
     with Workspace(spark, "html") as work:
-        known = work.save(templates(rows.withColumn("_html", F.col(html))), "templates", keep=True)
+        read = pages.select(F.xxhash64(F.col(url).cast("string"), F.col(html).cast("string")).alias("_key"), host(F.col(url)).alias("_host"), F.col(html).alias("_html"))
+        seen = work.save(read.mapInPandas(_hashes, "key long, host string, subtree long, article long, inside boolean"), "seen")
+        met = seen.where("inside").join(templates(seen), ["host", "subtree"]).groupBy("key").agg(F.collect_set("subtree").alias("template"))
+        known = work.save(met, "met", keep=True)
 
     @F.pandas_udf("string")
     def told(html: pd.Series, template: pd.Series) -> pd.Series:
@@ -249,5 +256,5 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame
     if known.isEmpty():
         joined = rows.withColumn("_template", F.lit(None).cast("array<long>"))
     else:
-        joined = rows.join(known.select(F.col("host").alias("_host"), F.col("template").alias("_template")), "_host", "left")
+        joined = rows.join(known.select(F.col("key").alias("_key"), F.col("template").alias("_template")), "_key", "left")
     return joined.select(*names, told(F.col(html), F.col("_template")).alias("text"))

@@ -345,6 +345,16 @@ def test_html_templates_go_by_host(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_html_templates_are_counted_outside_articles_too(spark):
+    """A block on 4 of 40 pages outside the article goes inside as well; an article's own sentence stays."""
+    advert = "<div><p>Buy our boats</p></div>"
+    page = lambda i, out, into: f"<body>{out}<article><h1>story {i}</h1><p>text {i}</p>{into}</article></body>"
+    rows = [(i, page(i, advert if i < 4 else f"<nav class=menu><p>n{i}</p></nav>", advert if i in (7, 8) else "<p>so it is</p>" if i in (9, 10, 11, 12, 13) else "")) for i in range(40)]
+    df = spark.createDataFrame([(i, f"http://a.example/{i}", h) for i, h in rows], "page_id long, url string, html string")
+    out = {r["page_id"]: r["text"] for r in html_text.extract(df).collect()}
+    assert out[7] == "story 7\n\ntext 7" and out[8] == "story 8\n\ntext 8" and out[9].endswith("so it is") and len(out) == 40
+
+
 # ---- 8 licenses
 
 
