@@ -32,10 +32,13 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all machines share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests on one machine) a temporary one is made.
+    Only where that is unset and the master is local (tests) a temporary one is
+    made; on a cluster the executors could not see it, so that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         made = tempfile.mkdtemp(prefix="docloom-")
         atexit.register(shutil.rmtree, made, ignore_errors=True)
         found = f"file://{made}"
@@ -47,6 +50,7 @@ class Workspace:
     """Intermediate tables in the shared folder; ``with`` keeps none but those kept.
 
     A table written here cuts the lineage: executors may be lost, the rows stay.
+    Kept tables go by :func:`release`, or at the latest when the application ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -61,6 +65,9 @@ class Workspace:
         if keep:
             self.kept.add(path)
         df.write.parquet(path)
+        if len(self.made) == 1:
+            _file_system(self.spark, self.root)[0].deleteOnExit(_file_system(self.spark, self.root)[1])
+            _ROOTS.append(self.root)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def __enter__(self) -> "Workspace":
@@ -72,14 +79,32 @@ class Workspace:
                 self.drop(path)
 
     def drop(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        delete(self.spark, path)
 
     def drop_last(self) -> None:
         self.drop(self.made[-1])
 
 
+#: Folders of the workspaces that this process has written to.
+_ROOTS: list[str] = []
+
+
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    files, target = _file_system(spark, path)
+    files.delete(target, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables that results of this process were kept in; to be called once those results are written."""
+    while _ROOTS:
+        delete(spark, _ROOTS.pop())
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
