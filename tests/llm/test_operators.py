@@ -168,10 +168,13 @@ def brute_components(rows, n, percent):
             o = len(sets[i] & sets[j])
             if sets[i] and 100 * o >= percent * (len(sets[i]) + len(sets[j]) - o):
                 parent[find(i)] = find(j)
-    least = defaultdict(list)
+    least, links = defaultdict(list), Counter()
     for i, (d, _) in enumerate(rows):
         least[find(i)].append(d)
-    return sorted((d, len(s), min(least[find(i)])) for i, ((d, _), s) in enumerate(zip(rows, sets)))
+        for j in range(len(rows)):
+            o = len(sets[i] & sets[j])
+            links[i] += i != j and bool(sets[i]) and 100 * o >= percent * (len(sets[i]) + len(sets[j]) - o)
+    return sorted((d, len(s), min(least[find(i)]), links[i]) for i, ((d, _), s) in enumerate(zip(rows, sets)))
 
 
 @pytest.mark.parametrize("n, percent", [(4, 85), (5, 80)])
@@ -190,10 +193,45 @@ def test_ngram_join(spark, n, percent):
     boiler = " ".join("b%d" % i for i in range(40))  # a passage that many documents share
     rows += [(2000 + i, f"{boiler} {i} x{i}") for i in range(60)] + [(3000, None), (3001, ""), (3002, " \n"), (3003, "A b C"), (3004, "a B c")]
     docs = spark.createDataFrame([(i, t, 9) for i, t in rows], f"{DOCS}, n long")
-    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(docs, n, percent).collect())
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in ngram_join.jaccard_components(docs, n, percent).collect())
     assert got == brute_components(rows, n, percent)
     kept = ngram_join.keep_first(docs, n, percent)
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(d for d, _, c in got if d == c) and kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(d for d, _, c, _ in got if d == c) and kept.columns == docs.columns
+
+
+@pytest.mark.parametrize("block, grams", [(4, 1 << 20), (1024, 300)])
+def test_ngram_join_in_blocks(spark, monkeypatch, block, grams):
+    """Long lists and large components, dealt to blocks."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "BLOCK_GRAMS", grams)
+    monkeypatch.setattr(ngram_join, "LONG_LISTS", 1_000_000)
+    rng = random.Random(block)
+    base = ["w%d" % i for i in range(80)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 3])):
+            w[rng.randrange(len(w))] = "v%d" % rng.randrange(400)
+        rows.append((i, " ".join(w)))
+    rows += [(100 + i, " ".join(base[:40] + ["u%d" % (i * 100 + j) for j in range(9)])) for i in range(30)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in ngram_join.jaccard_components(docs, 4, 85).collect())
+    want = brute_components(rows, 4, 85)
+    assert got == want and max(r[3] for r in got) > 10
+    pairs, members = ngram_join.linking_pairs(docs, 4, 85)
+    size = Counter(r["class_id"] for r in members.collect())
+    copies = sum(c * (c - 1) for k, c in size.items() if k is not None)
+    assert sum(2 * size[r["class_a"]] * size[r["class_b"]] for r in pairs.collect()) + copies == sum(r[3] for r in want)
+
+
+def test_keep_first_tells_rows_apart_by_id_and_text(spark):
+    same = "a b c d e f g"
+    rows = [(1, "a b c d e", "x"), (1, "totally other words here now", "y"), (2, same, "x"), (2, same, "w"), (3, same, "v"), (None, same, "u"), (None, "lone words of no id at all", "t"), (4, None, "s"), (5, "", "r"), (4, None, "q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key string")
+    kept = ngram_join.keep_first(docs)
+    want = [(1, "a b c d e", "x"), (1, "totally other words here now", "y"), (2, same, "w"), (None, "lone words of no id at all", "t"), (4, None, "s"), (5, "", "r"), (4, None, "q")]
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect()), key=str) == sorted(want, key=str)
+    assert ngram_join.keep_first(docs.limit(0)).count() == 0
 
 
 def test_ngram_join_odd_rows(spark):
@@ -210,6 +248,11 @@ def test_word_hashes_do_not_depend_on_place():
     h = ngram_join.word_hashes(long)
     assert len(h) == 400_000 == len(set(h.tolist()))
     assert ngram_join.word_hashes(b"y" * (3 << 20) + b" z").tolist()[1:] == ngram_join.word_hashes(b"z").tolist()
+    for size in (ngram_join.PIECE - 1, ngram_join.PIECE, ngram_join.PIECE + 1, 2 * ngram_join.PIECE):
+        word = b"X" * size
+        alone = ngram_join.word_hashes(word).tolist()
+        assert len(alone) == 1 and ngram_join.word_hashes(word + b" foo").tolist()[:1] == alone
+        assert ngram_join.word_hashes(b"a " + word).tolist()[1:] == alone and ngram_join.word_hashes(b"a bc\n" + word + b"\t" + word).tolist()[2:] == alone * 2
 
 
 def test_components(spark):
