@@ -55,7 +55,7 @@ FRAGMENTS = 4
 #: Bits of the bloom filter of candidates: 16 a candidate, within these powers of two.
 BLOOM_LEAST, BLOOM_MOST = 16, 28
 #: Classes of a block, n-grams of a block, and lists that may be sent to all tasks.
-BLOCK, BLOCK_GRAMS, LONG_LISTS = 1024, 1 << 20, 50_000
+BLOCK, BLOCK_GRAMS, LONG_LISTS = 512, 1 << 18, 50_000
 #: Sets of an n-gram up to which its pairs are counted one by one; cells of a matrix.
 RARE, MATRIX = 32, 1 << 22
 _NONE = np.empty(0, np.int64)
