@@ -1,9 +1,10 @@
 """Main text of web pages by removal of site templates.
 
 A page becomes a tree of elements.  Elements that never hold article text go by
-their tag, role, class or id.  All subtrees of the page, those too, are hashed (tag
-and white-space-free text); Spark counts, host by host, on how many different pages
-each occurs inside the article and outside of it.  Pages whose article is the same
+their tag, or by a name (role, id, one of the classes) that says nothing but what they
+are, such as ``cookie-notice``, not ``share-price`` or ``no-comments``.  All subtrees of
+the page, those too, are hashed (tag and white-space-free text); Spark counts, host by
+host, on how many different pages each occurs inside the article and outside of it.  Pages whose article is the same
 count once, so copies of an article do not make it a template.  The text of what is
 left inside the article (or main element, or body) is put out block by block.
 
@@ -11,12 +12,14 @@ A subtree inside the article is its host's template if it is outside the article
 at least ``LEAST`` different pages and inside on two, however many pages the host
 has, or inside on ``LEAST`` pages and a ``SHARE`` of the host's.  Inside alone a fixed
 number would not do: sentences of articles recur.  Pages meet their templates by a
-join on host and subtree.
+join on host and subtree.  Hosts of fewer than ``LEAST`` pages have no templates: there
+tags and names decide alone.
 
 Cases: null and empty html give the empty text; pages without a host form one
 host; truncated pages end all open elements; stray end tags are skipped; repeated
-rows give repeated results; an empty table gives an empty result; input columns
-named like the results are replaced.
+rows give repeated results; a page of any length is read whole; an empty table gives an
+empty result; an input column named ``text`` is replaced, all others come through,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from docloom.llm.names import col, fresh, rest
 from docloom.session import Workspace, ship
 
 LEAST, SHARE = 4, 0.25
@@ -36,7 +40,8 @@ LEAST, SHARE = 4, 0.25
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?][^>]*+>|</?[a-zA-Z][^>]*+>""", re.S
 )
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 # Elements of HTML by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -56,13 +61,18 @@ CLOSES = {
     "option": ("option",), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("thead", "tbody", "tr", "td", "th"),
 }
 STOPS = frozenset("ul ol dl table article section div body nav main aside header footer".split())
-# Words in class, id or role that name parts other than the article.
+# Words in class, id or role that name parts other than the article; those of comments; and words that only place such a part.
 NOT_ARTICLE = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner banners nav navbar navigation menu menus "
     "breadcrumb breadcrumbs sidebar sidenav aside complementary footer masthead contentinfo cookie cookies consent gdpr notice notices "
     "popup modal overlay dialog alert newsletter subscribe subscription signup login share sharing social related recommended "
-    "comment comments commentlist disqus respond replies reply pagination pager search searchbox toolbar widget widgets skip skiplink "
-    "copyright legal disclaimer tracking".split()
+    "pagination pager search searchbox toolbar widget widgets skip skiplink copyright legal disclaimer tracking".split()
+)
+COMMENTS = frozenset("comment comments commentlist disqus respond replies reply".split())
+NAMED = NOT_ARTICLE | COMMENTS
+PLACES = frozenset(
+    "left right top bottom upper lower main site page global primary secondary inner outer box block bar list links link area section wrapper "
+    "wrap container group row item items slot unit panel region zone posts articles stories form button buttons icon icons".split()
 )
 
 
@@ -78,16 +88,21 @@ class Node:
         self.digest = xxhash.xxh3_64_intdigest(f"{self.tag}\x00{chr(1).join(parts)}") >> 1 if parts else 0
 
 
-def _named_gone(attributes: str) -> bool:
+def _named(attributes: str, parts: frozenset[str]) -> bool:
+    """Whether a class, id or role names such a part, and nothing besides it."""
     for name, a, b, c in ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), (a or b or c).lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name in ("class", "id", "role") and not NOT_ARTICLE.isdisjoint(re.split(r"[^a-z]+", value)):
-            return True
+        if name.lower() in ("class", "id", "role"):
+            for token in (a or b or c).split():
+                words = {w.lower() for w in NAME_PART.findall(token)}
+                if words & parts and all(w in parts or w in PLACES or w.isdigit() for w in words):
+                    return True
     return False
 
 
+def _hidden(attributes: str) -> bool:
+    return any(n.lower() == "hidden" or n.lower() == "aria-hidden" and (a or b or c).lower() == "true" for n, a, b, c in ATTRIBUTE.findall(attributes))
+
+
 def parse(page: str) -> Node:
     """The tree of a page; elements that never hold article text are marked gone."""
     root = Node("#page", False)
@@ -125,11 +140,13 @@ def parse(page: str) -> Node:
             shut(("p",))
         if tag in CLOSES:
             shut(CLOSES[tag])
-        node = Node(tag, tag in GONE or bool(m[3]) and tag not in ("html", "body", "article", "main") and _named_gone(m[3]))
+        if tag in ("html", "body", "article", "main"):
+            gone = tag == "article" and _named(m[3], COMMENTS)
+        else:
+            gone = tag in GONE or bool(m[3]) and (_hidden(m[3]) or _named(m[3], NAMED))
+        node = Node(tag, gone)
         if tag == "header" and any(x.tag in ("article", "main") for x in stack):
             node.gone = False  # an article's own heading
-        if tag == "article" and _comment(m[3]):
-            node.gone = True
         stack[-1].children.append(node)
         if tag in VOID:
             continue
@@ -143,10 +160,6 @@ def parse(page: str) -> Node:
     return root
 
 
-def _comment(attributes: str | None) -> bool:
-    return bool(attributes) and any(n.lower() in ("class", "id") and re.search(r"comment|reply", a or b or c, re.I) for n, a, b, c in ATTRIBUTE.findall(attributes))
-
-
 def articles(root: Node) -> list[Node]:
     """The outermost article elements with text, else main elements, else the body, else the page."""
     for tag in ("article", "main", "body"):
@@ -241,10 +254,10 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame
     """pages with text, the main text of each."""
     spark = pages.sparkSession
     ship(spark)
-    names = [c for c in pages.columns if c != "text"]
-    rows = pages.select(*names, F.xxhash64(F.col(url).cast("string"), F.col(html).cast("string")).alias("_key"))
+    names = rest(pages, "text")
+    page_key = F.xxhash64(col(url).cast("string"), col(html).cast("string"))
     with Workspace(spark, "html") as work:
-        read = pages.select(F.xxhash64(F.col(url).cast("string"), F.col(html).cast("string")).alias("_key"), host(F.col(url)).alias("_host"), F.col(html).alias("_html"))
+        read = pages.select(page_key.alias("_key"), host(col(url)).alias("_host"), col(html).alias("_html"))
         seen = work.save(read.mapInPandas(_hashes, "key long, host string, subtree long, article long, inside boolean"), "seen")
         met = seen.where("inside").join(templates(seen), ["host", "subtree"]).groupBy("key").agg(F.collect_set("subtree").alias("template"))
         known = work.save(met, "met", keep=True)
@@ -253,8 +266,9 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame
     def told(html: pd.Series, template: pd.Series) -> pd.Series:
         return pd.Series([text_of(parse(h or ""), frozenset(t) if t is not None else frozenset()) for h, t in zip(html, template)], dtype=object)
 
+    key, template = fresh(pages, "_key", "_template")
     if known.isEmpty():
-        joined = rows.withColumn("_template", F.lit(None).cast("array<long>"))
+        joined = pages.withColumn(template, F.lit(None).cast("array<long>"))
     else:
-        joined = rows.join(known.select(F.col("key").alias("_key"), F.col("template").alias("_template")), "_key", "left")
-    return joined.select(*names, told(F.col(html), F.col("_template")).alias("text"))
+        joined = pages.withColumn(key, page_key).join(known.select(F.col("key").alias(key), F.col("template").alias(template)), key, "left")
+    return joined.select(*map(col, names), told(col(html), F.col(template)).alias("text"))

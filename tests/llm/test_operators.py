@@ -398,6 +398,54 @@ def test_html_templates_are_counted_outside_articles_too(spark):
     assert out[7] == "story 7\n\ntext 7" and out[8] == "story 8\n\ntext 8" and out[9].endswith("so it is") and len(out) == 40
 
 
+def test_html_names_that_say_more_than_a_part_stay():
+    tell = lambda html: html_text.text_of(html_text.parse(f"<article><h1>t</h1>{html}</article>"), set())
+    for tag in ('div style="overflow:hidden"', 'p title="hidden gems"', 'div data-id="nav-1"', 'div data-hidden="false"', 'section id="legal-notice-period"', 'p class="share-price"', "div class=has-sidebar", 'div class="post no-comments"', "div class=nav-free data-role=nav"):
+        assert tell(f"<{tag}>kept</{tag.split()[0]}>") == "t\n\nkept", tag
+    for tag in ('div class="ad"', "p hidden", 'div aria-hidden="true"', 'div id="cookie-notice"', "div role=navigation", 'div class="x sidebar-left"', "section class=commentList", "div class='ad-slot-3'", "div class=relatedPosts"):
+        assert tell(f"<{tag}>gone</{tag.split()[0]}>") == "t", tag
+    assert html_text.text_of(html_text.parse("<article class='no-comments'>a</article><article class='comment'>b</article>"), set()) == "a"
+    long = "word " * 300_000
+    assert html_text.text_of(html_text.parse(f"<article><p>{long}<p>{long}</article>"), set()) == f"{long.strip()}\n\n{long.strip()}"
+
+
+def test_html_site_without_telling_names_is_cleaned(spark):
+    page = lambda i: f"<body><div><a>Home</a> <a>About</a></div><div><h2>story {i}</h2><p>text {i}</p></div><div><p>Write to us</p></div></body>"
+    rows = [(i, "http://a.example/x", page(i), 1, 2) for i in range(8)] + [(100, "http://b.example/x", page(0), 1, 2)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, _template int, _key int")
+    got = html_text.extract(df)
+    assert got.columns == ["page_id", "url", "html", "_template", "_key", "text"]
+    out = {r["page_id"]: r["text"] for r in got.collect()}
+    assert all(out[i] == f"story {i}\n\ntext {i}" for i in range(8)) and "Home" in out[100]  # a host of one page has no templates
+
+
+def test_html_templates_against_brute_count(spark):
+    rng = random.Random(12)
+    parts = [f"<div><p>part {i}</p></div>" for i in range(12)]
+    pages = []
+    for i in range(120):
+        inside, outside = ("".join(p for p in parts if rng.random() < share) for share in (0.15, 0.1))
+        pages.append((f"http://h{i % 5}.example/", f"<body>{outside}<article><p>story {i % 100}</p>{inside}</article></body>"))
+    pages += pages[:20]
+    seen = []
+    inside, outside, articles = defaultdict(set), defaultdict(set), defaultdict(set)
+    for k, (url, page) in enumerate(pages):
+        article, into, out = html_text.subtrees(html_text.parse(page))
+        seen += [(k, url, x, article, where) for where, found in ((True, into | {0}), (False, out)) for x in found]
+        articles[url].add(article)
+        for x in into:
+            inside[url, x].add(article)
+        for x in out:
+            outside[url, x].add(article)
+    want = set()
+    for (url, x), on in inside.items():
+        n, o = len(on), len(outside[url, x])
+        if o >= html_text.LEAST and n >= 2 or n >= html_text.LEAST and n >= html_text.SHARE * len(articles[url]):
+            want.add((url, x))
+    df = spark.createDataFrame(seen, "key long, host string, subtree long, article long, inside boolean")
+    assert {(r["host"], r["subtree"]) for r in html_text.templates(df).collect()} == want and len(want) > 5
+
+
 # ---- 8 licenses
 
 
