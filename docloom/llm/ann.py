@@ -20,7 +20,8 @@ vector that owns a third of all rows costs no more than another.
 Cases: vectors that are null, empty, zero, of another length than most, or hold a
 null or non-finite component take no part, as queries or candidates; rows equal
 in id and vector count once; with fewer than ``k`` candidates all are returned;
-ties go to the smaller id; an empty table gives an empty result.
+ties go to the smaller id; an empty table gives an empty result; other columns of the
+input don't matter, whatever their names.
 """
 
 from __future__ import annotations

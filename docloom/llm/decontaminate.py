@@ -4,16 +4,19 @@ A test item of m characters may differ from a passage of a document by k =
 floor(rate * m) edits.  Cut into k + 1 pieces, at least one piece must then occur
 unchanged.  One automaton finds all pieces of a block of items in one pass over a
 text; around each hit Myers' bit-parallel algorithm finds the least edit distance
-of the item to any substring.  Items come in blocks of bounded size, so the
+of the item to any substring.  An item shorter than ``SHORT`` has no budget and must
+stand between word edges, as such strings turn up inside other words.  Items come in
+blocks of bounded size, so the
 automaton a worker holds is bounded whatever the size of the benchmark, and the
 corpus is read once a block.
 
 Both sides are lower-cased, and white space runs become one space; positions
 count characters of that form.
 
-Cases: null and empty texts match nothing; items that are null, or shorter than
-``least`` characters in that form, match nothing; repeated documents and items
-each give their own rows; empty tables give an empty result.
+Cases: null and empty texts and items match nothing; texts and items may have any
+length; of places of equal distance the first is told; repeated documents and items
+each give their own rows; empty tables give an empty result; other columns of the
+inputs don't matter, whatever their names, and :func:`clean` returns those of docs.
 """
 
 from __future__ import annotations
@@ -23,12 +26,15 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from docloom.session import ship
+from docloom.llm.names import col, fresh
+from docloom.session import Workspace, ship
 
-#: Edits allowed to a character of an item; the shortest item; characters of the items of a block.
-RATE, LEAST, BLOCK = 0.08, 16, 4_000_000
+#: Edits allowed to a character of an item; the shortest item with edits; characters of the items of a block.
+RATE, SHORT, BLOCK = 0.08, 16, 4_000_000
+#: Documents with items that may be sent to all tasks; more are joined by a shuffle.
+FEW = 200_000
 
 
 def plain(text: str) -> str:
@@ -82,7 +88,7 @@ class Matcher:
         self.items, self.auto = [], ahocorasick.Automaton()
         found: dict[str, list] = defaultdict(list)
         for ident, text in items:
-            k = int(rate * len(text))
+            k = int(rate * len(text)) if len(text) >= SHORT else 0
             self.items.append((ident, text, k, Pattern(text), Pattern(text[::-1])))
             for at, piece in pieces(text, k):
                 found[piece].append((len(self.items) - 1, at))
@@ -99,6 +105,10 @@ class Matcher:
         out = []
         for i, diagonals in hits.items():
             ident, item, k, forward, backward = self.items[i]
+            if len(item) < SHORT:
+                whole = [d for d in diagonals if not text[max(0, d - 1) : d].isalnum() and not text[d + len(item) : d + len(item) + 1].isalnum()]
+                out += [(ident, 0, min(whole), min(whole) + len(item))] if whole else []
+                continue
             best = None
             spans: list[list[int]] = []
             for d in sorted(diagonals):  # where the item would start; windows that overlap become one
@@ -118,42 +128,59 @@ class Matcher:
         return out
 
 
-def _blocks(items: DataFrame, ident: str, text: str, least: int, block: int) -> Iterator[list[tuple]]:
+def _blocks(items: DataFrame, ident: str, text: str, block: int) -> Iterator[list[tuple]]:
     """Items in blocks of about ``block`` characters; one block at a time is on the driver."""
-    usable = items.select(F.col(ident).alias("i"), F.col(text).alias("t")).where(F.length("t") >= least)
+    usable = items.select(col(ident).alias("i"), col(text).alias("t")).where(F.length("t") > 0)
     total = usable.agg(F.sum(F.length("t"))).first()[0] or 0
     n = int(total // block) + 1
     for b in range(n):
         rows = usable.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b).toLocalIterator()
-        got = sorted(((r["i"], plain(r["t"])) for r in rows), key=str)
-        yield [x for x in got if len(x[1]) >= least]
+        yield [x for x in sorted(((r["i"], plain(r["t"])) for r in rows), key=str) if x[1]]
 
 
-def find(docs: DataFrame, items: DataFrame, rate: float = RATE, least: int = LEAST, block: int = BLOCK, text: str = "text", ident: str = "doc_id", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, item_id, distance, start, stop): every document and item that it holds within the error budget."""
+def _found(docs: DataFrame, items: DataFrame, rate: float, block: int, text: str, ident: str, item: str, item_text: str) -> DataFrame:
+    """(id, key, item, distance, start, stop), where key is a hash of the document's id and text."""
     spark = docs.sparkSession
     ship(spark)
-    kind = lambda df, c: T.StructField(c, df.schema[c].dataType)
-    shape = T.StructType([kind(docs, ident), kind(items, item), *(T.StructField(c, T.IntegerType()) for c in ("distance", "start", "stop"))])
-    rows = docs.select(F.col(ident).alias("_id"), F.col(text).alias("_text")).where("_text is not null")
+    kind = lambda name, df, c: T.StructField(name, df.schema[c].dataType)
+    shape = T.StructType(
+        [kind("id", docs, ident), T.StructField("key", T.LongType()), kind("item", items, item), *(T.StructField(c, T.IntegerType()) for c in ("distance", "start", "stop"))]
+    )
+    rows = docs.select(col(ident).alias("_id"), _key(text, ident).alias("_key"), col(text).alias("_text")).where("_text is not null")
     found = spark.createDataFrame([], shape)
-    for part in _blocks(items, item, item_text, least, block):
+    for part in _blocks(items, item, item_text, block):
         if part:
             found = found.unionByName(rows.mapInPandas(_search(spark.sparkContext.broadcast(part), rate, shape.names), shape))
     return found
 
 
+def _key(text: str, ident: str) -> Column:
+    return F.xxhash64(col(ident).cast("string"), col(text))
+
+
 def _search(items, rate: float, names: list[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matcher = Matcher(items.value, rate)
         for batch in batches:
-            rows = [(i, *hit) for i, t in zip(batch["_id"], batch["_text"]) for hit in matcher(plain(t))]
+            rows = [(i, key, *hit) for i, key, t in zip(batch["_id"], batch["_key"], batch["_text"]) for hit in matcher(plain(t))]
             if rows:
                 yield pd.DataFrame(rows, columns=names)
 
     return run
 
 
-def clean(docs: DataFrame, items: DataFrame, ident: str = "doc_id", **options) -> DataFrame:
-    """The documents that hold no item; columns as in docs.  Documents without an id are judged by none and stay."""
-    return docs.join(find(docs, items, ident=ident, **options).select(ident).distinct(), ident, "left_anti").select(*docs.columns)
+def find(docs: DataFrame, items: DataFrame, rate: float = RATE, block: int = BLOCK, text: str = "text", ident: str = "doc_id", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(doc_id, item_id, distance, start, stop): every document and item that it holds within the error budget."""
+    found = _found(docs, items, rate, block, text, ident, item, item_text)
+    return found.select(F.col("id").alias(ident), F.col("item").alias(item), "distance", "start", "stop")
+
+
+def clean(docs: DataFrame, items: DataFrame, rate: float = RATE, block: int = BLOCK, text: str = "text", ident: str = "doc_id", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The documents that hold no item; columns as in docs.  Rows are told apart by id and text, so each text is judged for itself."""
+    key, gone_id, gone_key = fresh(docs, "_key", "_gone_id", "_gone_key")
+    with Workspace(docs.sparkSession, "leaks") as work:
+        gone = work.save(_found(docs, items, rate, block, text, ident, item, item_text).select("id", "key").distinct(), "gone", keep=True)
+    few = gone.limit(FEW + 1).count() <= FEW
+    gone = gone.select(F.col("id").alias(gone_id), F.col("key").alias(gone_key)).hint("broadcast" if few else "merge")
+    rows = docs.withColumn(key, _key(text, ident))
+    return rows.join(gone, (F.col(key) == F.col(gone_key)) & col(ident).eqNullSafe(F.col(gone_id)), "left_anti").select(*map(col, docs.columns))

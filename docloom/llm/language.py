@@ -9,12 +9,14 @@ close together are flagged as ambiguous.
 
 N-grams are hashed to ``DIMS`` places, counted over whole texts, and taken as
 square roots of shares.  Training takes at most ``MOST`` labelled texts, an equal
-number of each language as far as there are, those of least hash of the id.
+number of each language as far as there are, those of least hash of id and text; of
+more than ``MOST`` languages, those of most texts.
 
 Cases: a null text or one without letters is ``und`` with score 0; null languages
 teach nothing; without any known language all texts are ``und``; with one known
-language every text with letters is that; repeated rows are alike; an empty
-table gives an empty result.
+language every text with letters is that; texts of any length are counted whole; repeated rows
+are alike; an empty table gives an empty result; input columns named like the results
+are replaced, all others come through, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
+from docloom.llm.names import col, fresh, rest
 from docloom.session import ship
 
 DIMS, MOST, RIDGE, CLOSE = 4096, 2400, 0.3, 0.6
@@ -39,7 +42,7 @@ def _fold() -> np.ndarray:
     """Code point to code point: lower-cased letters and marks stay, all else is a space."""
     if not _FOLD:
         table = np.full(sys.maxunicode + 1, 32, np.uint32)
-        for c in range(0x30000):
+        for c in range(sys.maxunicode + 1):
             ch = chr(c)
             if unicodedata.category(ch)[0] in "LM":
                 low = ch.lower()
@@ -150,23 +153,24 @@ def held_out(ident: Column) -> Column:
 
 def fit(docs: DataFrame, most: int = MOST, text: str = "text", lang: str = "lang", ident: str = "doc_id") -> Model:
     """Learns from at most ``most`` texts with a language, none held out."""
-    ship(docs.sparkSession)
-    able = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(ident)))
-    found = sorted(r[0] for r in able.select(lang).distinct().limit(most + 1).collect())
-    if len(found) > most:
-        raise ValueError(f"more than {most} languages")
+    spark = docs.sparkSession
+    ship(spark)
+    able = docs.select(col(ident).alias("i"), col(lang).alias("l"), col(text).alias("t")).where(F.col("l").isNotNull() & F.col("t").isNotNull() & ~held_out(F.col("i")))
+    able = able.withColumn("h", F.xxhash64("i", "t"))
+    found = {r["l"]: r["n"] for r in able.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(most).collect()}
     each = max(1, most // max(1, len(found)))
-    light = able.select(F.col(ident).alias("i"), F.col(lang).alias("l"), F.xxhash64(F.col(ident), F.col(text)).alias("h"))
+    # Hashes are even, so the least of a language's n lie below a bound; only such rows are ranked, however many rows it has.
+    below = spark.createDataFrame([(l, min(2**63 - 1, -(2**63) + 2**64 * (4 * each + 200) // n)) for l, n in found.items()], "l string, bound long")
+    light = able.select("i", "l", "h").join(F.broadcast(below), "l").where(F.col("h") <= F.col("bound"))  # at most ``most`` languages
     nth = F.row_number().over(W.partitionBy("l").orderBy("h", "i"))
-    chosen = light.withColumn("n", nth).where(F.col("n") <= each).select("h").distinct()
+    chosen = light.withColumn("n", nth).where(F.col("n") <= each).select("l", "h").distinct()
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x, some = _shares(list(batch["t"]))
             yield pd.DataFrame({"h": batch["h"], "l": batch["l"], "x": [v.astype(np.float16).tobytes() for v in x]})[some]
 
-    texts = able.select(F.xxhash64(F.col(ident), F.col(text)).alias("h"), F.col(lang).alias("l"), F.col(text).alias("t"))
-    texts = texts.join(F.broadcast(chosen), "h")  # at most ``most`` hashes
+    texts = able.select("h", "l", "t").join(F.broadcast(chosen), ["l", "h"])  # at most ``most`` hashes
     got = texts.mapInPandas(rows, "h long, l string, x binary").dropDuplicates(["h", "l"]).orderBy("h", "l").collect()
     names = sorted({r["l"] for r in got})
     x = np.array([np.frombuffer(r["x"], np.float16) for r in got], np.float32).reshape(len(got), DIMS)
@@ -184,5 +188,6 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             texts = list(part)
             yield pd.concat([known.value(texts[a : a + 256]) for a in range(0, max(1, len(texts)), 256)], ignore_index=True)
 
-    names = [c for c in docs.columns if c not in ("lang_pred", "score", "ambiguous")]
-    return docs.select(*names, told(F.col(text)).alias("_told")).select(*names, "_told.*")
+    names, (pair,) = rest(docs, "lang_pred", "score", "ambiguous"), fresh(docs, "_told")
+    rows = docs.select(*map(col, names), told(col(text)).alias(pair))
+    return rows.select(*map(col, names), *[F.col(pair)[c].alias(c) for c in ("lang_pred", "score", "ambiguous")])

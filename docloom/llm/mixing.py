@@ -11,8 +11,10 @@ numbered by sums over their counts.  No task gets a whole source.
 
 Cases: a null text has size 0; documents of size 0 are dealt copies like others
 and take no words; a null source is a source, after all others; rows equal in id
-and text are numbered one after the other; an empty table gives an empty result.
-Columns of the input named like the results are replaced.
+and text are numbered one after the other, and rows that tie in all of the order
+are alike to it; a text of any length is counted whole; an empty table gives an
+empty result.  Columns of the input named like the results are replaced, all others
+come through, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
+from docloom.llm.names import col, fresh, rest
 from docloom.session import Workspace, ship
 
 WEIGHTS = (5, 2, 1)
@@ -65,53 +68,49 @@ def mix_plan(docs: DataFrame, seed: int = 17, text: str = "text", source: str =
     One row a source (name, words) goes to the driver, where the targets are set;
     ``rule`` goes to :func:`targets`.
     """
-    names = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
-    rows = docs.select(*names).withColumns(
-        {
-            "size": words(F.col(text)),
-            "_h": F.xxhash64(F.lit(seed), F.col(ident).cast("string"), F.col(text)),
-            "_s": F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("null")),
-        }
-    )
-    rows = rows.withColumn("_class", F.when(F.col("size") < 1, -1).otherwise(F.floor(F.log2("size") * CLASSES)).cast("int"))
     spark = docs.sparkSession
     ship(spark)
-    work = Workspace(spark, "mix")
-    light = work.save(rows.select("_s", "_h", "size", "_class"), "light", keep=True)
-    fine = light.groupBy("_s", "_class", F.pmod("_h", F.lit(LEAST_CELLS)).alias("_c")).agg(F.count("*").alias("_n"), F.sum("size").alias("_w"))
-    per_source = fine.groupBy("_s").agg(F.sum("_w").alias("w"), F.max("_n").alias("most")).collect()
-    sizes = {None if r["_s"] == "null" else r["_s"][1:]: r["w"] for r in per_source}
-    largest = max((r["most"] for r in per_source), default=1)
-    cells = LEAST_CELLS * min(MOST_CELLS // LEAST_CELLS, max(1, 2 ** math.ceil(math.log2(largest / CELL_ROWS)) if largest > CELL_ROWS else 1))
-    aims = targets(sizes, **rule)
-    consts = []
-    for s, size in sizes.items():
-        rate = aims[s] / size if size else 0.0
-        key = "null" if s is None else f"={s}"
-        offset = (zlib.crc32(f"{seed} {key}".encode()) + 0.5) / 2**32
-        consts.append((key, size, float(aims[s]), int(rate), rate - int(rate), offset))
-    known = spark.createDataFrame(consts, "_s string, source_size long, target double, _whole int, _part double, _offset double")
-    rows = rows.withColumn("_cell", F.pmod("_h", F.lit(cells)).cast("int"))
-    before = W.partitionBy("_s").orderBy("_class", "_cell").rowsBetween(W.unboundedPreceding, -1)
-    starts = (
-        light.groupBy("_s", "_class", F.pmod("_h", F.lit(cells)).cast("int").alias("_cell"))
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .join(known, "_s")
-        .drop("_n")
-    )
-    inside = W.partitionBy("_s", "_class", "_cell").orderBy("size", "_h", ident)
-    crossed = lambda i: F.floor(F.col("_offset") + F.col("_part") * i)
-    return (
-        rows.join(starts, ["_s", "_class", "_cell"])
-        .withColumn("_i", F.col("_start") + F.row_number().over(inside))
-        .withColumn("copies", (F.col("_whole") + crossed(F.col("_i")) - crossed(F.col("_i") - 1)).cast("int"))
-        .withColumn("taken", F.col("copies") * F.col("size"))
-        .select(*names, "size", "source_size", "target", "copies", "taken")
-    )
+    size = words(col(text))
+    h = F.xxhash64(F.lit(seed), col(ident).cast("string"), col(text))
+    of = F.coalesce(F.concat(F.lit("="), col(source)), F.lit("null"))
+    class_ = lambda n: F.when(F.col(n) < 1, -1).otherwise(F.floor(F.log2(n) * CLASSES)).cast("int")
+    with Workspace(spark, "mix") as work:
+        light = work.save(docs.select(of.alias("s"), h.alias("h"), size.alias("size")).withColumn("class", class_("size")), "light")
+        fine = light.groupBy("s", "class", F.pmod("h", F.lit(LEAST_CELLS)).alias("c")).agg(F.count("*").alias("n"), F.sum("size").alias("w"))
+        per_source = fine.groupBy("s").agg(F.sum("w").alias("w"), F.max("n").alias("most")).collect()
+        sizes = {None if r["s"] == "null" else r["s"][1:]: r["w"] for r in per_source}
+        largest = max((r["most"] for r in per_source), default=1)
+        cells = LEAST_CELLS * min(MOST_CELLS // LEAST_CELLS, max(1, 2 ** math.ceil(math.log2(largest / CELL_ROWS)) if largest > CELL_ROWS else 1))
+        aims = targets(sizes, **rule)
+        consts = []
+        for name, all_ in sizes.items():
+            rate = aims[name] / all_ if all_ else 0.0
+            key = "null" if name is None else f"={name}"
+            offset = (zlib.crc32(f"{seed} {key}".encode()) + 0.5) / 2**32
+            consts.append((key, all_, float(aims[name]), int(rate), rate - int(rate), offset))
+        known = spark.createDataFrame(consts, "s string, source_size long, target double, whole int, part double, offset double")
+        before = W.partitionBy("s").orderBy("class", "cell").rowsBetween(W.unboundedPreceding, -1)
+        starts = light.groupBy("s", "class", F.pmod("h", F.lit(cells)).cast("int").alias("cell")).agg(F.count("*").alias("n"))
+        starts = starts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).join(known, "s").drop("n")
+        starts = work.save(starts, "starts", keep=True)
+    own = dict(zip(("s", "class", "cell", "source_size", "target", "whole", "part", "offset", "start", "h", "i", "size"), fresh(docs, *"_s _class _cell _all _aim _whole _part _offset _start _h _i _size".split())))
+    at = lambda name: F.col(own[name])
+    rows = docs.withColumns({own["size"]: size, own["h"]: h, own["s"]: of})
+    rows = rows.withColumns({own["class"]: class_(own["size"]), own["cell"]: F.pmod(at("h"), F.lit(cells)).cast("int")})
+    inside = W.partitionBy(at("s"), at("class"), at("cell")).orderBy(at("size"), at("h"), col(ident))
+    crossed = lambda i: F.floor(at("offset") + at("part") * i)
+    rows = rows.join(starts.select(*[F.col(c).alias(own[c]) for c in starts.columns]), [own["s"], own["class"], own["cell"]])
+    rows = rows.withColumn(own["i"], at("start") + F.row_number().over(inside))
+    copies = (at("whole") + crossed(at("i")) - crossed(at("i") - 1)).cast("int")
+    results = [at("size").alias("size"), at("source_size").alias("source_size"), at("target").alias("target"), copies.alias("copies"), (copies * at("size")).alias("taken")]
+    return rows.select(*map(col, rest(docs, "size", "source_size", "target", "copies", "taken")), *results)
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixture itself: each document as often as the mix takes it, with the columns of the input."""
-    plan = mix_plan(docs, **options).where("copies > 0")
-    return plan.select(*[c for c in docs.columns if c in plan.columns], F.explode(F.sequence(F.lit(1), "copies")).alias("_copy")).drop("_copy")
+    results = [c for c in docs.columns if c not in rest(docs, "size", "source_size", "target", "copies", "taken")]
+    aside = dict(zip(results, fresh(docs, *[f"_{c}" for c in results])))
+    plan = mix_plan(docs.withColumnsRenamed(aside), **options).where("copies > 0")
+    (copy,) = fresh(plan, "_copy")
+    plan = plan.withColumn(copy, F.explode(F.sequence(F.lit(1), "copies")))
+    return plan.select(*[col(aside.get(c, c)).alias(c) for c in docs.columns])

@@ -12,8 +12,9 @@ whole of its text.  The model is a few kilobytes.
 
 Cases: null texts count as empty; texts without words have all word features 0;
 labels with a null id or value are left out, and of several for one id the least
-holds; no labels give the score 0.5; repeated rows are scored alike; an empty
-table gives an empty result.
+holds; no labels give the score 0.5; repeated rows are scored alike; texts of any
+length are read whole; an empty table gives an empty result; an input column named
+like the score is replaced, all others come through, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from docloom.llm.names import col, fresh, rest
 from docloom.session import ship
 
 #: Labelled rows that training takes at most.
@@ -196,9 +198,10 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
         for part in parts:
             yield pd.Series(known.value(_matrix(part)))
 
-    return docs.withColumn(name, scored(F.col(text)))
+    return docs.select(*map(col, rest(docs, name)), scored(col(text)).alias(name))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
     """The documents that score at least ``threshold``; columns as in docs."""
-    return score(docs, fit(docs, labels, **options), name="_quality_score").where(F.col("_quality_score") >= threshold).select(*docs.columns)
+    (name,) = fresh(docs, "_score")
+    return score(docs, fit(docs, labels, **options), name=name).where(F.col(name) >= threshold).select(*map(col, docs.columns))

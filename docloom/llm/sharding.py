@@ -5,7 +5,7 @@ the hash of the id), so that equal texts lie side by side.  Splitters are found
 without sorting: each round counts exact bytes below evenly spaced probe keys
 inside the intervals that still hold a wanted splitter, and keeps the probe
 interval around each target, until a probe lies within the tolerance.  Then
-every row knows its partition, and rows move once.
+every row knows its shard, and rows move once.
 
 Only ``2**STEP`` counts a target reach the driver in a round, whatever the
 input.  A text that owns a large share of all rows is one value of the first
@@ -13,10 +13,16 @@ half of the key; the search then goes on in the second half, so its copies are
 cut at exact byte positions like all others.  Equal texts otherwise stay in one
 shard, because a splitter within the tolerance lies between two texts.
 
+In the exchange a shard falls into cells of about ``CELL_BYTES``: ranges of the first
+half of the key, and where one of them is much larger (a text with many copies),
+ranges of the second half in it.  Slots number the cells' rows one cell after the
+other, so no task holds a whole shard, however large the input.
+
 Cases: a null text counts one byte (its size is 1) and has a null crc; empty
-texts have size 1; rows with a null id sort by the text and a fixed id hash;
-rows equal in both id and text have equal keys and stay together; an empty table
-gives an empty result; input columns named like the results are replaced.
+texts have size 1; a text of any length is one row of its size; rows with a null
+id sort by the text and a fixed id hash; rows equal in both id and text have equal
+keys and stay together; an empty table gives an empty result; input columns named
+like the results are replaced, all others come through, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,25 +31,24 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T, Window as W
 
+from docloom.llm.names import col, fresh, rest
 from docloom.session import Workspace, ship
 
 BITS = 62
 #: Bits of the key that one round resolves.
 STEP = 10
-#: Bytes of text of a partition in the exchange, and the most partitions of a shard.
-PART_BYTES, MOST_PARTS = 64 << 20, 256
+#: Bytes of text of a cell in the exchange, about, and bits of the key that name the cells of the smallest input.
+CELL_BYTES, LEAST_BITS = 64 << 20, 6
 
 
 def text_bytes(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
 
 
-def with_key(df: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
-    """Adds _k1, _k2 (both in 0 .. 2**62-1) and _w, the bytes of a row."""
+def keys_of(text: Column, ident: Column) -> list[Column]:
+    """The halves of the key (both in 0 .. 2**62-1), and the bytes of a row."""
     cut = lambda c: F.shiftrightunsigned(c, 64 - BITS)
-    return df.withColumns(
-        {"_k1": cut(F.xxhash64(F.col(text))), "_k2": cut(F.xxhash64(F.lit("id"), F.col(ident).cast("string"))), "_w": text_bytes(F.col(text))}
-    )
+    return [cut(F.xxhash64(text)), cut(F.xxhash64(F.lit("id"), ident.cast("string"))), text_bytes(text)]
 
 
 def _below(rows: DataFrame, half: str, bits: int, intervals: list[tuple[int, int]]) -> dict:
@@ -109,31 +114,43 @@ def _part_of(bounds: list[tuple[int, int]]):
     return part
 
 
+def _sub(rows: DataFrame, large: DataFrame, names: list[str]) -> DataFrame:
+    """rows with the last two of the names (shard, k1, k2, bucket, sub): the cell of each row in its shard."""
+    shard, k1, k2, bucket, sub = names
+    large = large.select(F.col("shard").alias(shard), F.col("bucket").alias(bucket), F.col("cut").alias(sub))
+    # At most one bucket to 4 * CELL_BYTES of the input is large: 24 bytes to 256 MB.
+    rows = rows.join(F.broadcast(large), [shard, bucket], "left")
+    return rows.withColumn(sub, F.coalesce(F.expr(f"shiftrightunsigned(`{k2}`, {BITS} - `{sub}`)"), F.lit(0).cast("long")))
+
+
 def shard(docs: DataFrame, shards: int = 16, tolerance: float = 0.005, text: str = "text", ident: str = "doc_id") -> DataFrame:
     """Adds shard (0 .. shards-1), slot (gapless from 0 in each shard) and size (bytes + 1).
 
     Shards hold near equal bytes: each boundary is off by at most ``tolerance`` of
-    a shard, or by one row where a row is larger.  Within a shard slots follow the key.
+    a shard, or by one row where a row is larger.
     """
     spark = docs.sparkSession
     ship(spark)
-    names = [c for c in docs.columns if c not in ("shard", "slot", "size")]
-    rows = with_key(docs.select(*names), text, ident)
+    keys_ = keys_of(col(text), col(ident))
+    cell = ["shard", "k1", "k2", "bucket", "sub"]
     with Workspace(spark, "shard") as work:
-        keys = work.save(rows.select("_k1", "_k2", "_w"), "keys")
+        keys = work.save(docs.select(*[k.alias(n) for k, n in zip(keys_, ("_k1", "_k2", "_w"))]), "keys")
         total = keys.agg(F.sum("_w")).first()[0] or 0
-        per = int(min(MOST_PARTS, max(4, -(-total // (shards * PART_BYTES)))))
-        part = _part_of(splitters(keys, shards * per, tolerance * total / shards))
-        counts = {r["p"]: r["n"] for r in keys.groupBy(part("_k1", "_k2").alias("p")).agg(F.count("*").alias("n")).collect()}
-    starts, run = [], 0
-    for i in range(shards * per):
-        run = 0 if i % per == 0 else run
-        starts.append(run)
-        run += counts.get(i, 0)
-    order = W.partitionBy("_part").orderBy("_k1", "_k2")
-    start = F.element_at(F.array(*[F.lit(x).cast("long") for x in starts]), F.col("_part") + 1)
-    return (
-        rows.withColumn("_part", part("_k1", "_k2"))
-        .withColumns({"shard": (F.col("_part") / per).cast("int"), "slot": start + F.row_number().over(order) - 1, "size": F.col("_w")})
-        .drop("_part", "_k1", "_k2", "_w")
-    )
+        part = _part_of(splitters(keys, shards, tolerance * total / shards))
+        bits = min(BITS, max(LEAST_BITS, (total // CELL_BYTES).bit_length()))
+        bucket = lambda k1: F.shiftrightunsigned(k1, BITS - bits)
+        light = keys.select(part("_k1", "_k2").alias("shard"), F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), bucket("_k1").alias("bucket"), "_w")
+        large = light.groupBy("shard", "bucket").agg(F.sum("_w").alias("b")).where(F.col("b") > 4 * CELL_BYTES)
+        large = work.save(large.select("shard", "bucket", F.ceil(F.log2(F.col("b") / CELL_BYTES)).cast("int").alias("cut")), "large", keep=True)
+        before = W.partitionBy("shard").orderBy("bucket", "sub").rowsBetween(W.unboundedPreceding, -1)
+        starts = _sub(light, large, cell).groupBy("shard", "bucket", "sub").agg(F.count("*").alias("n"))
+        starts = work.save(starts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n"), "starts", keep=True)
+    shard_, k1, k2, bucket_, sub, start, size = fresh(docs, "_shard", "_k1", "_k2", "_bucket", "_sub", "_start", "_size")
+    rows = docs.withColumns(dict(zip((k1, k2, size), keys_))).withColumn(shard_, part(k1, k2)).withColumn(bucket_, bucket(k1))
+    rows = _sub(rows, large, [shard_, k1, k2, bucket_, sub])
+    starts = starts.select(*[F.col(a).alias(b) for a, b in zip(("shard", "bucket", "sub", "start"), (shard_, bucket_, sub, start))])
+    # One exchange: the join and the numbering deal rows by the same cells.
+    rows = rows.join(starts, [shard_, bucket_, sub])
+    order = W.partitionBy(shard_, bucket_, sub).orderBy(k1, k2)
+    rows = rows.withColumn(k1, F.col(start) + F.row_number().over(order) - 1)
+    return rows.select(*map(col, rest(docs, "shard", "slot", "size")), F.col(shard_).alias("shard"), F.col(k1).alias("slot"), F.col(size).alias("size"))

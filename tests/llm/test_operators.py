@@ -294,6 +294,28 @@ def test_shards(spark):
     assert sharding.shard(df.limit(0), 16).count() == 0
 
 
+def test_shards_against_sorting(spark, monkeypatch):
+    """Boundaries of a plain sort by the key, to the tolerance; slots cell by cell, with a text that fills many cells."""
+    monkeypatch.setattr(sharding, "CELL_BYTES", 2000)
+    rng = random.Random(14)
+    rows = [(i, "x" * rng.randrange(300)) for i in range(800)] + [(1000 + i, "hot " * 40) for i in range(500)] + [(9000, "y" * 70_000)]
+    df = spark.createDataFrame(rows, DOCS)
+    keyed = df.select("doc_id", *[k.alias(n) for k, n in zip(sharding.keys_of(F.col("text"), F.col("doc_id")), "abw")]).collect()
+    keys, total = sorted((r["a"], r["b"], r["w"], r["doc_id"]) for r in keyed), sum(r["w"] for r in keyed)
+    shard, slots = {}, defaultdict(list)
+    for r in sharding.shard(df, 5).collect():
+        shard[r["doc_id"]] = r["shard"]
+        slots[r["shard"]].append(r["slot"])
+    assert [shard[k[3]] for k in keys] == sorted(shard[k[3]] for k in keys)  # shards are intervals of the sorted keys
+    below = 0
+    for at, k in enumerate(keys[:-1]):
+        below += k[2]
+        if shard[k[3]] != shard[keys[at + 1][3]]:
+            aim = total * shard[keys[at + 1][3]] / 5
+            assert abs(below - aim) <= max(0.005 * total / 5, max(k[2], keys[at + 1][2]))
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
 # ---- 5 line dedup
 
 
@@ -512,6 +534,29 @@ def test_mix(spark):
     assert mixing.mix_plan(df.limit(0)).count() == 0
 
 
+def test_mix_against_prefix_sums(spark):
+    """Plain systematic sampling: sum the expected copies from the left, emit at each integer that offset + sum crosses."""
+    rng = random.Random(19)
+    rows = [(i, "s%d" % rng.choice([0, 0, 1, 2]), "w " * rng.randrange(50)) for i in range(400)]
+    rows += [(500 + i, None, "a b c") for i in range(9)] + [(600, "s1", "long " * 200_000), (601, "s2", None), (602, "s2", "tie t"), (603, "s2", "tie t")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    h = {r["doc_id"]: r["h"] for r in df.select("doc_id", F.xxhash64(F.lit(17), F.col("doc_id").cast("string"), F.col("text")).alias("h")).collect()}
+    size = {d: len(words_of(t)) for d, _, t in rows}
+    sizes = Counter()
+    for d, s, _ in rows:
+        sizes[s] += size[d]
+    aims, want = mixing.targets(sizes), {}
+    for s in sizes:
+        class_ = lambda d: math.floor(math.log2(size[d]) * mixing.CLASSES) if size[d] else -1
+        own = sorted((d for d, x, _ in rows if x == s), key=lambda d: (class_(d), h[d] % mixing.LEAST_CELLS, size[d], h[d], d))
+        rate, total = aims[s] / sizes[s], (zlib.crc32(f"17 {'null' if s is None else '=' + s}".encode()) + 0.5) / 2**32
+        for d in own:
+            before, total = math.floor(total), total + rate
+            want[d] = math.floor(total) - before
+    out = {r["doc_id"]: r for r in mixing.mix_plan(df).collect()}
+    assert {d: r["copies"] for d, r in out.items()} == want and {d: r["size"] for d, r in out.items()} == size
+
+
 # ---- 10 decontamination
 
 
@@ -553,24 +598,36 @@ def test_decontamination(spark):
         _, t = items[i % 8]
         rows.append((i, f"{before}\n{edited(t, (i // 8) * 4).upper()}  {after}"))
     rows += [(100, None), (101, ""), (102, items[0][1] + " " + items[1][1]), (102, items[0][1])]
+    rows += [(103, f"a {items[2][1]} b {items[2][1]}"), (104, "cut short, as it was"), (105, "shorter ashort"), (106, "c"), (None, items[3][1]), (None, "clean text"), (107, items[4][1]), (107, "clean too")]
+    items += [(50, None), (51, "short"), (52, ""), (53, "C"), (54, items[7][1]), (55, "x" * 200)]
     docs = spark.createDataFrame([(*r, "x") for r in rows], f"{DOCS}, item_id string")
-    table = spark.createDataFrame(items + [(50, None), (51, "short")], "item_id long, text string")
+    table = spark.createDataFrame(items, "item_id long, text string")
     want = Counter()
     for d, t in rows:
         for i, x in items:
-            p, q = decontaminate.plain(x), decontaminate.plain(t or "")
+            p, q = decontaminate.plain(x or ""), decontaminate.plain(t or "")
+            if p and len(p) < decontaminate.SHORT:
+                want[d, i, 0] += bool(re.search(rf"(?<![^\W_]){re.escape(p)}(?![^\W_])", q))
+                continue
             e = edit_distance_inside(p, q)
-            if e <= int(decontaminate.RATE * len(p)):
+            if p and e <= int(decontaminate.RATE * len(p)):
                 want[d, i, e] += 1
+    want = +want
     found = decontaminate.find(docs, table).collect()
     assert Counter((r["doc_id"], r["item_id"], r["distance"]) for r in found) == want
     by_id = dict(items)
     texts = defaultdict(list)
     for d, t in rows:
         texts[d].append(decontaminate.plain(t or ""))
+    assert [(r["start"], r["distance"]) for r in found if (r["doc_id"], r["item_id"]) == (103, 2)] == [(2, 0)]  # the first of equal places
     assert all(any(edit_distance_inside(decontaminate.plain(by_id[r["item_id"]]), t[r["start"] : r["stop"]]) == r["distance"] for t in texts[r["doc_id"]]) for r in found)
     blocks = decontaminate.find(docs, table, block=400).collect()
     assert sorted(map(str, blocks)) == sorted(map(str, found))
     kept = decontaminate.clean(docs, table)
-    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {d for d, _ in rows} - {d for d, _, _ in want}
+    leaks = lambda t: any(decontaminate.plain(x or "") and (len(x) < 16 and re.search(rf"\b{x}\b", t or "", re.I) or len(x) >= 16 and edit_distance_inside(decontaminate.plain(x), decontaminate.plain(t or "")) <= int(0.08 * len(x))) for _, x in items)
+    assert kept.columns == docs.columns and sorted(map(str, kept.select("doc_id", "text").collect())) == sorted(str((d, t)).replace("(", "Row(doc_id=", 1).replace(", ", ", text=", 1) for d, t in rows if not leaks(t))
+    decontaminate_few = decontaminate.FEW
+    decontaminate.FEW = 0  # joined by a shuffle
+    assert sorted(map(str, decontaminate.clean(docs, table).collect())) == sorted(map(str, kept.collect()))
+    decontaminate.FEW = decontaminate_few
     assert decontaminate.find(docs.limit(0), table).count() == 0 and decontaminate.find(docs, table.limit(0)).count() == 0
