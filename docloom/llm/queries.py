@@ -98,12 +98,33 @@ firsts as (
   from blocks
   window p1 as (partition by b1 order by doc_id, i), p2 as (partition by b2 order by doc_id, i), p3 as (partition by b3 order by doc_id, i)
 ),
+blanks as (
+  select doc_id, i, line, words, before, after,
+    string_agg(line, chr(10)) over (partition by doc_id, before order by i) as from_words,
+    string_agg(line, chr(10)) over (partition by doc_id, after order by i desc) as to_words
+  from (
+    select *, max(case when words > 0 then i end) over (partition by doc_id order by i) as before,
+      min(case when words > 0 then i end) over (partition by doc_id order by i rows between current row and unbounded following) as after
+    from l
+  )
+),
+far as (
+  select doc_id, i from (
+    select doc_id, i, first_value(doc_id) over p = doc_id and first_value(before) over p = before as f
+    from blanks where words = 0 and i - before >= 3 window p as (partition by from_words order by doc_id, before)
+  ) where not f
+  union
+  select doc_id, i from (
+    select doc_id, i, first_value(doc_id) over p = doc_id and first_value(i) over p = i as f
+    from blanks where words = 0 and after - i >= 3 window p as (partition by to_words order by doc_id, i)
+  ) where not f
+),
 goes as (
   select doc_id, i, case when not f3 and w3 > 0 then 3 when not f2 and w2 >= 50 then 2 when not f1 and words >= 50 then 1 else 0 end as goes from firsts
 ),
 gone as (
-  select doc_id, i, greatest(goes, coalesce(lag(goes, 1) over d, 0) - 1, coalesce(lag(goes, 2) over d, 0) - 2) > 0 as gone
-  from goes window d as (partition by doc_id order by i)
+  select doc_id, i, far.i is not null or greatest(goes, coalesce(lag(goes, 1) over d, 0) - 1, coalesce(lag(goes, 2) over d, 0) - 2) > 0 as gone
+  from goes left join far using (doc_id, i) window d as (partition by doc_id order by i)
 )
 select doc_id, count(*)::int as n_lines, (count(*) filter (where gone))::int as n_removed,
   strlen(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), ''))::int as kept_bytes,

@@ -6,12 +6,14 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from docloom.llm import ann, decontaminate, html_text, language, licenses, line_dedup, mixing, ngram_join, quality, sharding
 from docloom.llm.graph import components
+from docloom.llm.queries import ORACLE_SQL
 from docloom.session import Workspace
 
 DOCS = "doc_id long, text string"
@@ -320,7 +322,7 @@ def test_shards_against_sorting(spark, monkeypatch):
 
 
 def brute_lines(rows, min_lines, min_words):
-    """Every run of at most min_lines lines inside every run that stood before, marked if it is long enough."""
+    """Every run that stood before, deleted if it is long enough."""
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0]))
     flat = [(d, i, x) for d, t in order if t is not None for i, x in enumerate(t.split("\n"))]
     gone = set()
@@ -329,26 +331,45 @@ def brute_lines(rows, min_lines, min_words):
             n = 0
             while p + n < len(flat) and flat[p + n][0] == flat[p][0] and flat[q + n][0] == flat[q][0] and flat[p + n][2] == flat[q + n][2]:
                 n += 1
-            for size in range(1, min(n, min_lines) + 1):
-                for a in range(p, p + n - size + 1):
-                    count = sum(len(words_of(x[2])) for x in flat[a : a + size])
-                    if count >= min_words or size == min_lines and count:
-                        gone |= {(flat[a][0], flat[a + i][1]) for i in range(size)}
+            count = sum(len(words_of(x[2])) for x in flat[p : p + n])
+            if n and (count >= min_words or n >= min_lines and count):
+                gone |= {(flat[p][0], flat[p][1] + i) for i in range(n)}
     return {d: None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone) for d, t in rows}
 
 
-@pytest.mark.parametrize("min_lines, min_words", [(3, 50), (3, 6), (4, 9), (2, 1000)])
-def test_line_dedup(spark, min_lines, min_words):
+@pytest.mark.parametrize("min_lines, min_words", [(3, 50), (4, 9), (1, 4), (6, 30)])
+def test_line_dedup(spark, min_lines, min_words, monkeypatch):
+    monkeypatch.setattr(line_dedup, "LARGE", 9)  # common lines are large classes
     rng = random.Random(min_words)
     pool = ["l%d " % i * rng.choice([1, 2, 5]) for i in range(12)] + ["", " "]
     rows = [(i, "\n".join(rng.choice(pool) if rng.random() < 0.8 else f"u{rng.random()}" for _ in range(rng.randrange(1, 14)))) for i in range(40)]
-    rows += [(50, None), (51, ""), (52, rows[3][1]), (53, "\n".join(["r r"] * 9))]
+    rows += [(50, None), (51, ""), (52, rows[3][1]), (53, "\n".join(["r r"] * 9)), (54, ""), (55, "l1 \nl2 "), (56, "l1 \nl2 ")]
+    long = ["line %d" % i for i in range(30)]  # runs of up to 30 lines
+    rows += [(60 + i, "\n".join([f"v{i}", *long[i : 30 - i], f"w{i}", *long[: 4 * i]])) for i in range(7)]
+    # Blank lines far from words, alone and with the words on one side or both.
+    rows += [(80, "a b\n" + "\n" * 9 + "c d"), (81, "x\na b\n" + "\n" * 9 + "e f"), (82, "y\n" + "\n" * 9 + "c d"), (83, "z" + "\n" * 12), (84, "a b\n" + "\n" * 5 + "q"), (85, "\n" * 11)]
     df = spark.createDataFrame([(i, t, "x", "y", "z") for i, t in rows], f"{DOCS}, removed string, id string, h string")
     assert line_dedup.dedup_lines(df).select("id", "h").distinct().collect() == [("y", "z")]
     out = {r["doc_id"]: r for r in line_dedup.dedup_lines(df, min_lines, min_words).collect()}
     want = brute_lines(rows, min_lines, min_words)
     assert {d: r["text"] or "" for d, r in out.items()} == {d: t or "" for d, t in want.items()}
     assert out[50]["text"] is None and out[50]["n_lines"] == 0
+    if (min_lines, min_words) == (3, 50):  # the query's SQL says the same
+        con = duckdb.connect()
+        con.execute("create table documents (doc_id bigint, text varchar)")
+        con.executemany("insert into documents values (?, ?)", [r for r in rows if r[1] is not None])
+        sql = {d: (n, size) for d, n, size in con.execute(f"select doc_id, n_removed, kept_bytes from ({ORACLE_SQL['op5_suffix_line_dedup']})").fetchall()}
+        assert sql == {d: (r["n_removed"], len(r["text"])) for d, r in out.items() if d != 50}
+    assert all(r["n_removed"] == sum(x["stop"] - x["start"] for x in r["removed"] or ()) == r["n_lines"] - (len(want[d].split("\n")) if want[d] or not r["n_removed"] else 0) for d, r in out.items() if d != 50 and not (r["n_removed"] and not want[d]))
+
+
+def test_line_dedup_doubles_until_no_rank_is_shared(spark):
+    text = "\n".join("line %d" % i for i in range(40))
+    df = spark.createDataFrame([(1, text + "\na"), (2, text + "\nb"), (3, text + "\nb")], DOCS)
+    with Workspace(spark, "t") as work:
+        lines, ranks = line_dedup.suffix_ranks(df, work)
+        counts = {n: r.count() for n, r in ranks.items()}
+    assert counts == {1: 80, 2: 78, 3: 76, 4: 74, 8: 66, 16: 50, 32: 18, 64: 0}  # the third text is the second one's copy
 
 
 def test_line_dedup_repeated_rows(spark):
