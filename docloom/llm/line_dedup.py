@@ -61,21 +61,25 @@ def _lines(docs: DataFrame, text: str, ident: str) -> DataFrame:
     return rows.select("h", "i", F.col("doc.id").alias("id"), "a", "b", "words")
 
 
-def _with_ranks(rows: DataFrame, by: list[str], much: int, work: Workspace, name: str) -> DataFrame:
-    """Those of the rows whose values of ``by`` stand more than once, with rank, the first place of them, for these columns."""
+def _ranked(rows: DataFrame, by: list[str], large: bool, much: int, work: Workspace, name: str) -> DataFrame:
+    """Those of the rows whose values of ``by`` stand more than once, with rank, the first place of them, and their number, for these columns.
+
+    Where no class can have more than ``much`` rows (not ``large``), classes meet in a window; else in a join.
+    """
+    if not large:
+        own = W.partitionBy(*by)
+        return rows.withColumns({"rank": F.min(_place()).over(own), "size": F.count("*").over(own)}).where("size > 1").drop(*by)
     classes = rows.groupBy(*by).agg(F.min(_place()).alias("rank"), F.count("*").alias("size")).where("size > 1")
     classes = work.save(classes, f"classes-{name}")
-    small, large = classes.where(F.col("size") <= much), classes.where(F.col("size") > much)
-    joined = rows.join(small.hint("merge"), by).unionByName(rows.join(F.broadcast(large), by))
-    return work.save(joined.drop(*by, "size"), f"ranks-{name}")
+    few, many = classes.where(F.col("size") > much), classes.where(F.col("size") <= much)
+    return rows.join(many.hint("merge"), by).unionByName(rows.join(F.broadcast(few), by)).drop(*by)
 
 
-def _grown(ranks: DataFrame, n: int, by: int, much: int, work: Workspace) -> DataFrame:
-    """Ranks of n + by lines from those of n lines, which overlap if by < n."""
+def _grown(ranks: DataFrame, by: int) -> DataFrame:
+    """From ranks of n lines, the pairs (one, two) that make up n + by lines; they overlap if by < n."""
     ahead = F.first(F.struct("rank", "upto")).over(_in_text().rangeBetween(by, by))
     pairs = ranks.withColumn("ahead", ahead).where("ahead is not null")
-    pairs = pairs.select("h", "i", "id", "before", F.col("ahead.upto").alias("upto"), F.col("rank").alias("one"), F.col("ahead.rank").alias("two"))
-    return _with_ranks(pairs, ["one", "two"], much, work, str(n + by))
+    return pairs.select("h", "i", "id", "before", F.col("ahead.upto").alias("upto"), F.col("rank").alias("one"), F.col("ahead.rank").alias("two"))
 
 
 def suffix_ranks(docs: DataFrame, work: Workspace, min_lines: int = MIN_LINES, text: str = "text", ident: str = "doc_id") -> tuple[DataFrame, dict[int, DataFrame]]:
@@ -86,21 +90,30 @@ def suffix_ranks(docs: DataFrame, work: Workspace, min_lines: int = MIN_LINES, t
     """
     lines = work.save(_lines(docs, text, ident), "lines")
     much = max(LARGE, lines.count() // MOST_LARGE)
-    first = _with_ranks(lines, ["a", "b"], much, work, "1")
-    upto = F.sum("words").over(_in_text())
-    ranks = {1: work.save(first.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("words")), "ranks-1-words")}
-    n = 1
-    while not ranks[n].isEmpty():
+    ranks, most = {}, much + 1  # of the rows of a class
+
+    def add(n: int, rows: DataFrame, by: list[str]) -> int:
+        found = _ranked(rows, by, most > much, much, work, str(n))
+        if n == 1:
+            upto = F.sum("words").over(_in_text())
+            found = found.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("words"))
+        ranks[n] = work.save(found, f"ranks-{n}")
+        return ranks[n].agg(F.max("size")).first()[0] or 0
+
+    n, most = 1, add(1, lines, ["a", "b"])
+    while most:
         for by in range(1, n):
             if n + by <= min_lines:
-                ranks[n + by] = _grown(ranks[n], n, by, much, work)
-        ranks[2 * n] = _grown(ranks[n], n, n, much, work)
+                add(n + by, _grown(ranks[n], by), ["one", "two"])
+        most = add(2 * n, _grown(ranks[n], n), ["one", "two"])
         n *= 2
     return lines, ranks
 
 
 def _far_blanks(ranks: dict[int, DataFrame], min_lines: int) -> DataFrame | None:
     """(h, i, n = 1): lines of white space, with over ``min_lines`` lines from the next line with words to them, where all of these stand earlier."""
+    if ranks[1].where("words = 0").isEmpty():
+        return None
     at = F.when(F.col("words") > 0, F.struct("i", "group"))
     rows = ranks[1].withColumn("group", F.col("i") - F.row_number().over(_in_text()))  # equal in adjacent lines
     rows = rows.withColumns(
