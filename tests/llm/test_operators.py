@@ -525,6 +525,39 @@ def test_licenses(spark):
     assert licenses.scan(df.limit(0)).count() == 0 and licenses.scan(df, {}).count() == 0
 
 
+def test_license_windows_against_aligning_everywhere():
+    """A scanner finds a template just where the alignment with some window of the text covers it enough."""
+    rng = random.Random(21)
+    template = licenses.TEMPLATES["gpl-3.0-notice"]
+    own, scanner = licenses.words_of(template), licenses.Scanner({"x": template}, 0.8)
+    for _ in range(150):
+        words = []
+        for _ in range(rng.randrange(3)):
+            words += ["f%d" % rng.randrange(50) for _ in range(rng.randrange(30))]
+            part = [w for w in own if rng.random() > rng.choice([0, 0.1, 0.3])]
+            for _ in range(rng.randrange(4)):
+                part.insert(rng.randrange(len(part) + 1), "ins")
+            words += part
+        got = scanner(" ".join(words))
+        slack = max(2, len(own) // 4)
+        best = max((len(licenses.align(own, words[a : a + len(own) + 2 * slack])) for a in range(max(1, len(words)))), default=0)
+        assert bool(got) == (best >= 0.8 * len(own)) or abs(best - 0.8 * len(own)) <= 1, (words, best)
+
+
+def test_licenses_that_hold_each_other(spark):
+    t, files = licenses.TEMPLATES, licenses.all_templates()
+    filler = "some words of the project "
+    inserted = t["mit"].replace("subject to", "ins " * 60 + "subject to")  # a long insertion
+    rows = [(1, filler + t["bsd-3-clause"]), (2, filler + t["bsd-2-clause"]), (3, t["apache-2.0-header"] + " " + filler), (4, inserted), (5, files["gpl-3.0"]), (6, files["apache-2.0"] + " " + filler * 40 + t["isc"]), (7, t["mit"] + " " + filler + t["mit"]), (7, t["mit"] + " " + filler + t["mit"]), (8, files["lgpl-3.0"])]
+    out = defaultdict(list)
+    for r in licenses.scan(spark.createDataFrame(rows, DOCS)).collect():
+        out[r["doc_id"]].append((r["license"], r["passages"], r["coverage"]))
+    assert {d: sorted(x) for d, x in out.items()} == {
+        1: [("bsd-3-clause", 1, 1.0)], 2: [("bsd-2-clause", 1, 1.0)], 3: [("apache-2.0-header", 1, 1.0)], 4: [("mit", 1, 1.0)], 5: [("gpl-3.0", 1, 1.0)],
+        6: [("apache-2.0", 1, 1.0), ("isc", 1, 1.0)], 7: [("mit", 2, 1.0)] * 2, 8: [("lgpl-3.0", 1, 1.0)],
+    }
+
+
 # ---- 9 mixing
 
 
