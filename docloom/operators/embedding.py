@@ -8,6 +8,7 @@ runs in Arrow batches, with a table of the bigrams met so far.
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -20,6 +21,33 @@ from docloom.session import ship
 DIMS = 256
 #: Texts a call to a model gets at most, and tries it gets.
 BATCH, TRIES = 10, 3
+#: Seconds before the second try; doubled before each later one.
+WAIT = 0.5
+
+
+class Busy(Exception):
+    """A model's answer that it can't serve now (status 429, or 500 and above); ``status`` says which."""
+
+    def __init__(self, status: int):
+        super().__init__(f"status {status}")
+        self.status = status
+
+
+def passing(error: Exception) -> bool:
+    """Whether another try may do: a failed link, or a status of 429 or 500 and above on the error or its response."""
+    status = getattr(error, "status", None) or getattr(error, "status_code", None) or getattr(getattr(error, "response", None), "status_code", None)
+    return isinstance(error, (ConnectionError, TimeoutError)) or isinstance(status, int) and (status == 429 or status >= 500)
+
+
+def tried(call, tries: int = TRIES, wait: float = WAIT):
+    """call(), again after a growing wait if its error is passing."""
+    for n in range(1, tries + 1):
+        try:
+            return call()
+        except Exception as e:
+            if n == tries or not passing(e):
+                raise
+            time.sleep(wait * 2 ** (n - 1))
 
 
 class Provider(Protocol):
@@ -37,13 +65,15 @@ class Bigrams:
         self.dims, self.known = dims, {}
 
     def counts(self, text: str | None) -> np.ndarray:
-        text = text or ""
-        at = np.empty(max(0, len(text) - 1), np.int64)
-        for i, pair in enumerate(zip(text, text[1:])):
+        """Each different bigram is looked up once a text."""
+        code = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        pairs, n = np.unique((code[:-1] << 21) | code[1:], return_counts=True)
+        at = np.empty(len(pairs), np.int64)
+        for i, pair in enumerate(pairs.tolist()):
             if (b := self.known.get(pair)) is None:
-                b = self.known[pair] = bucket("".join(pair), self.dims)
+                b = self.known[pair] = bucket(chr(pair >> 21) + chr(pair & 0x1FFFFF), self.dims)
             at[i] = b
-        return np.bincount(at, minlength=self.dims)
+        return np.bincount(at, n, self.dims).astype(np.int64)
 
     def __call__(self, texts: list[str]) -> list[list[float]]:
         out = []
@@ -55,7 +85,7 @@ class Bigrams:
 
 
 def embed(provider: Provider | None = None):
-    """A function from a text column to array<float>; calls the provider with at most BATCH texts, and again if the link fails."""
+    """A function from a text column to array<float>; calls the provider with at most BATCH texts, and again if it can't serve now."""
 
     @F.pandas_udf("array<float>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -63,13 +93,7 @@ def embed(provider: Provider | None = None):
         for part in parts:
             texts, out = list(part), []
             for a in range(0, len(texts), BATCH):
-                for left in range(TRIES - 1, -1, -1):
-                    try:
-                        out += call(texts[a : a + BATCH])
-                        break
-                    except (ConnectionError, TimeoutError):
-                        if not left:
-                            raise
+                out += tried(lambda: call(texts[a : a + BATCH]))  # noqa: B023
             yield pd.Series(out, dtype=object)
 
     return run

@@ -191,6 +191,12 @@ def page_blocks(parts: Column, page: Column) -> Column:
     return F.aggregate(F.flatten(F.transform(parts, atoms)), start, add, end)
 
 
+def transcript_blocks(text: Column, page: Column) -> Column:
+    """The blocks of a transcribed page."""
+    section = F.concat(F.lit("第 "), page.cast("string"), F.lit(" 页"))
+    return F.transform(fit(text), lambda t: F.struct(section.alias("section"), F.lit("figure_transcript").alias("block_type"), t.alias("text")))
+
+
 def laid_out_blocks(pages: DataFrame, transcripts: DataFrame | None = None) -> DataFrame:
     """(doc_id, block_seq, page, section, block_type, text): all pages in order, then the transcripts.
 
@@ -202,8 +208,7 @@ def laid_out_blocks(pages: DataFrame, transcripts: DataFrame | None = None) -> D
         rows = rows.join(red, ["doc_id", "page"], "left").withColumn("parts", F.when(F.col("_red"), F.array().cast(f"array<{PART}>")).otherwise(F.col("parts"))).drop("_red")
     found = chained(rows).select("doc_id", "page", F.lit(0).alias("tail"), page_blocks(F.col("parts"), F.col("page")).alias("blocks"))
     if transcripts is not None:
-        section = F.concat(F.lit("第 "), F.col("page").cast("string"), F.lit(" 页"))
-        told = F.transform(fit(F.col("text")), lambda t: F.struct(section.alias("section"), F.lit("figure_transcript").alias("block_type"), t.alias("text")))
+        told = transcript_blocks(F.col("text"), F.col("page"))
         found = found.unionByName(transcripts.select("doc_id", "page", F.lit(1).alias("tail"), told.alias("blocks")))
     ordered = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("tail", "page", "blocks"))).alias("p"))
     flat = F.flatten(F.transform("p", lambda p: F.transform(p["blocks"], lambda b: F.struct(p["page"].alias("page"), b.alias("b")))))

@@ -9,6 +9,7 @@ from docloom.operators import embedding, evaluate, layout, qa, retrieval
 from docloom.plans import sqltext as Q
 from docloom.plans.registry import ORACLE_SQL, QUERIES, SQL_BLOCKS, SQL_PAIRS, doc_blocks, docs_of, query, texts_of, vectors
 from docloom.session import ship, table
+from docloom.streaming import inbox
 
 __all__ = ["QUERIES", "ORACLE_SQL"]
 
@@ -167,9 +168,12 @@ def w5_first_occurrences(spark, d):
     return first.select("f.block_id", "f.title")
 
 
-@query("select event_id, ts from events order by ts desc, event_id limit 200")
+@query(
+    """select event_id, ts from events where event_type is null or event_type = 'view' union all
+  (select event_id, ts from events where event_type <> 'view' order by ts desc, event_id limit 200)"""
+)
 def v2_v3_newest_jobs(spark, d):
-    return table(spark, d, "events").select("event_id", "ts").orderBy(F.desc("ts"), "event_id").limit(200)
+    return inbox.retained(table(spark, d, "events"), F.col("event_type") != "view", "ts", "event_id", 200).select("event_id", "ts")
 
 
 @query(

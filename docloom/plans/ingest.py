@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docloom.functions import text as X
-from docloom.operators import chunking, images, json_blocks, layout, quality_gate, store
+from docloom.operators import chunking, images, json_blocks, layout, quality_gate, store, transcribe
 from docloom.operators.embedding import Provider, embed
 from docloom.session import Workspace
 from docloom.sources import files as S, ooxml, pdf
@@ -66,21 +69,82 @@ def block_rows(cut: DataFrame) -> DataFrame:
     )
 
 
+def red_pages(found: DataFrame, cut: DataFrame, renderer: Callable[[bytes, int], bytes] | None = None) -> DataFrame:
+    """(doc_id, page, image) of the red pages of PDF files: found has their content, cut their verdicts.
+
+    renderer: the file's bytes and a page to an image; without one the image is the whole file.
+    """
+
+    @F.pandas_udf("binary")
+    def drawn(content: pd.Series, page: pd.Series) -> pd.Series:
+        return pd.Series([renderer(c, p) for c, p in zip(content, page)], dtype=object)
+
+    image = F.col("content") if renderer is None else drawn("content", "page")
+    red = cut.where((F.col("document_type") == "pdf") & (F.size("quality.red_pages") > 0)).select("path", F.explode("quality.red_pages").alias("page"))
+    return found.where(F.col("document_type") == "pdf").select("path", "doc_id", "content").join(red, "path").select("doc_id", "page", image.alias("image"))
+
+
+def with_transcripts(cut: DataFrame, told: DataFrame | None, most: int = transcribe.MOST) -> DataFrame:
+    """cut with transcribed pages, a block each behind all others, and transcription: pages, failed, tokens, and a note for the report.
+
+    Pages that could not be read, and all where there is no transcriber (told is None), keep the text they have.
+    """
+    red = F.when(F.col("document_type") == "pdf", F.coalesce(F.size("quality.red_pages"), F.lit(0))).otherwise(0)
+    if told is None:
+        note = F.when(red > 0, F.concat(F.lit("未配转录模型："), red.cast("string"), F.lit(" 个红页未转录（保持原文入库）")))
+        return cut.withColumn("transcription", F.struct(F.lit(0).alias("pages"), F.lit(0).cast("long").alias("tokens"), note.alias("note")))
+    good = F.col("text").isNotNull() & (F.trim("text") != "")
+    blocks = F.transform(layout.transcript_blocks(F.col("text"), F.col("page")), lambda b: F.struct(F.col("page").alias("page"), b.alias("b")))
+    a_doc = told.groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(F.when(good, F.struct("page", blocks.alias("b"))))).alias("_told"),
+        F.array_sort(F.collect_list(F.when(~good, F.col("page")))).alias("_lost"),
+        F.coalesce(F.sum(F.col("prompt_tokens") + F.col("completion_tokens")), F.lit(0)).cast("long").alias("_tokens"),
+    )
+    lost, over = F.coalesce(F.size("_lost"), F.lit(0)), red - most
+    note = F.concat_ws(
+        "；",
+        F.when(lost > 0, F.concat(lost.cast("string"), F.lit(" 页转录失败保留原文: P["), F.array_join(F.slice("_lost", 1, 5), ", "), F.lit("]"))),
+        F.when(over > 0, F.concat(F.lit("超过单文档转录上限，"), over.cast("string"), F.lit(" 页未转录"))),
+    )
+    rows = cut.join(a_doc.hint("merge"), "doc_id", "left")
+    count = F.coalesce(F.size("_told"), F.lit(0))
+    taken, told_blocks = F.transform("_told", lambda p: p["page"]), F.flatten(F.transform("_told", lambda p: p["b"])).cast(PAGED)
+    # A transcript takes the place of what the page had.
+    blocks = F.when(count > 0, F.concat(F.filter("blocks", lambda b: b["page"].isNull() | ~F.array_contains(taken, b["page"])), told_blocks)).otherwise(F.col("blocks"))
+    state = F.struct(count.alias("pages"), F.coalesce("_tokens", F.lit(0).cast("long")).alias("tokens"), F.nullif(note, F.lit("")).alias("note"))
+    return rows.withColumns({"blocks": blocks, "transcription": state}).drop("_told", "_lost", "_tokens")
+
+
 def ingest(
-    spark: SparkSession, paths: list[str], target: str, now: Column | None = None, provider: Provider | None = None, rebuild: bool = False, image_folder: str | None = None
-) -> DataFrame:
+    spark: SparkSession, paths: list[str], target: str, now: Column | None = None, provider: Provider | None = None, rebuild: bool = False,
+    image_folder: str | None = None, transcriber: transcribe.Transcriber | None = None, renderer: Callable[[bytes, int], bytes] | None = None, dump_folder: str | None = None,
+) -> DataFrame:
     """Brings files into the snapshots at ``target``; one report row a file.  Files that fail do not touch the others."""
     now = F.current_timestamp() if now is None else now
-    cut = file_blocks(S.detected(S.read_files(spark, paths)))
-    return ingest_blocks(cut, target, now, provider, rebuild, image_folder)
+    found = S.detected(S.read_files(spark, paths))
+    return ingest_blocks(file_blocks(found), target, now, provider, rebuild, image_folder, found, transcriber, renderer, dump_folder)
+
 
+def ingest_blocks(
+    cut: DataFrame, target: str, now: Column, provider: Provider | None = None, rebuild: bool = False, image_folder: str | None = None,
+    found: DataFrame | None = None, transcriber: transcribe.Transcriber | None = None, renderer: Callable[[bytes, int], bytes] | None = None, dump_folder: str | None = None,
+) -> DataFrame:
+    """The same from cut files.  What was cut is kept in the shared folder for the store, the images and the report, so files are read once.
 
-def ingest_blocks(cut: DataFrame, target: str, now: Column, provider: Provider | None = None, rebuild: bool = False, image_folder: str | None = None) -> DataFrame:
-    """The same from cut files.  Files are read once: what was cut is kept in the shared folder for the store, the images and the report."""
+    found and transcriber: files with red pages are read again, and the pages transcribed.  dump_folder: a readable text of each document's blocks goes there.
+    """
     spark = cut.sparkSession
-    cut = Workspace(spark, "ingest").save(cut, "cut", keep=True)
+    work = Workspace(spark, "ingest")
+    cut = work.save(cut, "cut", keep=True)
+    told = None
+    if transcriber is not None and found is not None:
+        told = work.save(transcribe.transcribed(red_pages(found, cut, renderer), transcriber), "told", keep=True)
+    cut = with_transcripts(cut, told)
+    if dump_folder:
+        # One file a document; Spark's part files lie in its folder, so that any file system will do.
+        chunk_dump(block_rows(cut)).select("doc_id", F.col("dump").alias("value")).write.mode("overwrite").partitionBy("doc_id").text(dump_folder)
     reports = store.Snapshots(spark, target).upsert(block_rows(cut), embed(provider), now, rebuild)
-    rows = cut.select("doc_id", "file_name", "document_type", "detected_by", "quality", "error", F.size("blocks").alias("_n"), F.coalesce(F.size("images"), F.lit(0)).alias("images"))
+    rows = cut.select("doc_id", "file_name", "document_type", "detected_by", "quality", "error", F.size("blocks").alias("_n"), F.coalesce(F.size("images"), F.lit(0)).alias("images"), "transcription")
     saved = F.lit(0)
     joined = rows.join(reports, "doc_id", "left")
     if image_folder:
@@ -100,6 +164,7 @@ def ingest_blocks(cut: DataFrame, target: str, now: Column, provider: Provider |
         count("skipped").alias("skipped"),
         "images",
         saved.alias("images_saved"),
+        "transcription",
         F.lit("given" if provider else "mock").alias("provider"),
         F.lit(provider is None).alias("degraded"),
         "error",

@@ -256,7 +256,7 @@ def f5_year_predicate(spark, d):
 
 @query("select l_orderkey, l_linenumber from lineitem where l_returnflag = 'R' and l_linenumber = 3")
 def f6_equality_filter(spark, d):
-    return table(spark, d, "lineitem").where((F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 3)).select("l_orderkey", "l_linenumber")
+    return store.where_equal(table(spark, d, "lineitem"), l_returnflag="R", l_linenumber=3).select("l_orderkey", "l_linenumber")
 
 
 _ASKED = "case when conv_id % 3 = 0 then concat(role, ' ', turn) when conv_id % 3 = 1 then concat('Hello ', role) else text end"
@@ -431,7 +431,7 @@ def a2_batch_summary(spark, d):
 
 @query("select source, count(*) as blocks from documents group by source")
 def a7_count_blocks(spark, d):
-    return docs_of(spark, d, "source").groupBy("source").agg(F.count("*").alias("blocks"))
+    return store.counts(docs_of(spark, d, "source"), "source")
 
 
 @query(
@@ -446,7 +446,7 @@ def m4_backfill(spark, d):
 @query("select doc_id from documents where source <> 'src1'")
 def u3_delete_documents(spark, d):
     docs = docs_of(spark, d, "source")
-    return docs.join(docs.where("source = 'src1'").select("doc_id"), "doc_id", "left_anti").select("doc_id")
+    return store.without(docs, docs.where("source = 'src1'")).select("doc_id")
 
 
 @query("""select image_id, 'd' || min(doc_id) as doc_id, count(*)::int as copies from (select doc_id, 'img-' || substr(md5(text), 1, 10) as image_id from documents)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import json
 import re
+import warnings
 import zipfile
 
 import pandas as pd
@@ -21,24 +22,28 @@ LEGACY = {"doc": ("Word", "docx"), "xls": ("Excel", "xlsx"), "ppt": ("PowerPoint
 OLE, ZIP, PDF = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1", b"PK\x03\x04", b"%PDF"
 MEMBERS = {"word/": "word", "xl/": "excel", "ppt/": "slides"}
 ENCODINGS, PRINTABLE, HEAD = ("utf-8-sig", "utf-16", "gbk"), 0.8, 4096
+FILES = "path string, modificationTime timestamp, length long, content binary"
 DETECTED = "struct<document_type:string,detected_by:string,error:string>"
 
 
 def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """binaryFile rows of files, and of the known files right in folders; with file_name, doc_id (its stem) and extension."""
-    pattern = "*.{" + ",".join([*TYPES, *LEGACY]) + "}"
-    jvm, rows = spark.sparkContext._jvm, []
+    """binaryFile rows of files, and of the known files right in folders; with file_name, doc_id (its stem) and extension.
+
+    Extensions count in any case of letters.  A path that isn't there is passed by with a warning.
+    """
+    any_case = lambda e: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e)
+    pattern = "*.{" + ",".join(any_case(e) for e in [*TYPES, *LEGACY]) + "}"
+    jvm, out = spark.sparkContext._jvm, None
     for p in paths:
         at = jvm.org.apache.hadoop.fs.Path(p)
         fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         if not fs.exists(at):
-            raise FileNotFoundError(p)
+            warnings.warn(f"[跳过] 路径不存在: {p}", stacklevel=2)
+            continue
         reader = spark.read.format("binaryFile").option("recursiveFileLookup", "false")
-        rows.append((reader.option("pathGlobFilter", pattern) if fs.getFileStatus(at).isDirectory() else reader).load(p))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return with_names(out)
+        rows = (reader.option("pathGlobFilter", pattern) if fs.getFileStatus(at).isDirectory() else reader).load(p)
+        out = rows if out is None else out.unionByName(rows)
+    return with_names(spark.createDataFrame([], FILES) if out is None else out)
 
 
 def with_names(files: DataFrame) -> DataFrame:

@@ -122,3 +122,44 @@ def test_transcripts(spark):
 
     got = {r["page"]: (r["text"], r["error"]) for r in transcribe.transcribed(pages, read, most=2).collect()}
     assert got == {1: ("text", None), 2: (None, "TimeoutError: late")}
+
+
+def test_models_that_fail_stop_no_question(spark):
+    q = frame(spark, [(1, "甲是什么", [1.0, 0.0]), (2, "丙是什么", [0.0, 1.0])], "query_id int, question string, embedding array<float>")
+
+    def model(context, question):
+        if "甲" in question:
+            raise ValueError("refused")
+        return qa.Reply("答[1]", 7, 3)
+
+    got = {r["query_id"]: r for r in qa.answered(q, store(spark), model, 2).collect()}
+    assert got[1]["degraded"] and got[1]["prompt_tokens"] == 0
+    assert not got[2]["degraded"] and got[2]["answer"] == "答[1]" and (got[2]["prompt_tokens"], got[2]["completion_tokens"]) == (7, 3)
+    one = qa.answer_one(spark, store(spark).withColumn("embedding", F.array(*[F.lit(0.1)] * 256).cast("array<float>")), "丙是什么", model=model)
+    assert one["answer"] == "答[1]" and one["usage"] == {"prompt_tokens": 7, "completion_tokens": 3, "total_tokens": 10} and one["seconds"] > 0
+
+
+def test_answers_are_evaluated(spark, tmp_path):
+    from docloom import cli
+    from docloom.plans import ingest
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.txt").write_text("the boats leave at nine in the morning", encoding="utf-8")
+    golden = tmp_path / "g.json"
+    golden.write_text(json.dumps([{"id": "1", "query": "when do boats leave", "expect_doc": "a", "anchor": "boats leave at nine"}, {"id": "2", "query": "hi", "expect_doc": "a", "anchor": "morning"}]), encoding="utf-8")
+    ingest.ingest(spark, [str(folder)], str(tmp_path / "s"), F.lit("2026-01-01").cast("timestamp")).collect()
+    report = cli.evaluation(spark, str(golden), str(tmp_path / "s"), 3, model=lambda context, question: qa.Reply("At nine [1].", 5, 2), answers=True)
+    layer = report["answers"]
+    assert (layer["cases_total"], layer["referenced_cases"], layer["traceable_rate"], layer["total_tokens"], layer["degraded"]) == (1, 1, 1.0, 7, False)
+    assert layer["rows"][0]["source_count"] == 1 and layer["rows"][0]["traceable"] and report["retrieval"]["metrics"]["recall"] == 1.0
+    assert layer["elapsed_s"] > 0 and report["retrieval"]["elapsed_s"] > 0 and any("2" in d for d in report["defects"])
+    cli.write_text(spark, str(tmp_path / "r.json"), "é")
+    assert (tmp_path / "r.json").read_text(encoding="utf-8") == "é"
+    assert cli.evaluation(spark, str(golden), str(tmp_path / "s"), 3)["answers"] is None
+
+
+def test_year_arbitration_is_limited_before_the_shuffle(spark):
+    q = frame(spark, [("own", [2025], [0.0, 1.0])], "query_id string, years array<int>, embedding array<float>")
+    plan = retrieval.year_aware(q, store(spark), 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2

@@ -2,6 +2,7 @@
 
 import zlib
 
+from docloom.operators import store
 from docloom.plans import ingest
 from docloom.sources import files, pdf
 
@@ -86,3 +87,33 @@ def test_report_holds_page_quality_and_images(spark, tmp_path):
         assert (r["images"], r["images_saved"]) == (1, saved)
         assert (r["quality"]["red"], r["quality"]["yellow"], r["quality"]["red_pages"]) == (1, 1, [2]) and r["quality"]["notes"][0].startswith("P2: ")
     assert "红1/黄1/绿0" in ingest.report_line(ingest.ingest(spark, [str(folder)], str(tmp_path / "s"), now)).first()["line"]
+
+
+def test_red_pages_are_transcribed(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    good = text(50, 700, b"Enough words on this page to be over the least count of characters, so that it is green or so.")
+    (folder / "a.pdf").write_bytes(made(good, text(10, 10, b"x"), text(10, 10, b"y")))
+    (folder / "n.txt").write_text("plain", encoding="utf-8")
+    now = F.lit("2026-01-01").cast("timestamp")
+
+    def read(image, model):
+        if image.endswith(b"#3"):
+            raise TimeoutError("late")
+        return "what page two shows", 10, 5
+
+    render = lambda content, page: content[:4] + b"#%d" % page
+    target = str(tmp_path / "s")
+    got = {r["doc_id"]: r for r in ingest.ingest(spark, [str(folder)], target, now, transcriber=read, renderer=render, dump_folder=str(tmp_path / "d")).collect()}
+    assert got["a"]["transcription"].asDict() == {"pages": 1, "tokens": 15, "note": "1 页转录失败保留原文: P[3]"}
+    assert got["n"]["transcription"].asDict() == {"pages": 0, "tokens": 0, "note": None}
+    rows = {r["block_id"]: r for r in store.Snapshots(spark, target).read(["a"]).collect()}
+    last = rows[f"a:{len(rows) - 1}"]
+    assert (last["page"], last["block_type"], last["section"], last["text"]) == (2, "figure_transcript", "第 2 页", "what page two shows")
+    assert {r["page"] for r in rows.values()} == {1, 2, 3} and sum(r["page"] == 2 for r in rows.values()) == 1
+    dumped = {r["doc_id"]: r["value"] for r in spark.read.option("wholetext", "true").text(str(tmp_path / "d")).collect()}
+    assert "what page two shows" in dumped["a"] and dumped["n"].strip().endswith("plain")
+    without = {r["doc_id"]: r for r in ingest.ingest(spark, [str(folder)], str(tmp_path / "t"), now).collect()}
+    assert without["a"]["transcription"]["note"] == "未配转录模型：2 个红页未转录（保持原文入库）" and without["a"]["status"] == "ok"

@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from docloom.operators import images, store
@@ -96,3 +98,75 @@ def test_inbox_runs_again_without_new_rows(spark, tmp_path):
     inbox.watch(*args).awaitTermination(120)
     assert store.Snapshots(spark, args[2]).read().count() == count + 1 == 7
     assert inbox.jobs(spark, args[4]).first()["source_file"] == "more.txt"
+
+
+def test_untouched_buckets_keep_their_files(spark, tmp_path):
+    ship(spark)
+    s = store.Snapshots(spark, str(tmp_path / "s"), buckets=8)
+    s.upsert(rows(spark, [(f"d{i}", 0, f"t{i}") for i in range(40)]), embed(), now())
+    before = s.manifest()["buckets"]
+    s.upsert(rows(spark, [("new", 0, "n")]), embed(), now())  # only adds: one bucket gains a folder
+    added = s.manifest()["buckets"]
+    moved = [b for b in added if added[b] != before.get(b)]
+    assert len(before) > 4 and len(moved) == 1 and added[moved[0]][:-1] == before.get(moved[0], [])
+    s.upsert(rows(spark, [("d3", 0, "changed")]), embed(), now())  # a change: that bucket is written anew
+    after = s.manifest()["buckets"]
+    moved = [b for b in after if after[b] != added[b]]
+    assert len(moved) == 1 and len(after[moved[0]]) == 1
+    assert s.read().count() == 41 and s.read(["d3"]).first()["text"] == "changed" and s.read(version=1).count() == 40
+    version = s.version()
+    s.upsert(rows(spark, [("d3", 0, "changed")]), embed(), now())
+    assert s.version() == version  # nothing to write, no version
+    assert s.vacuum(older_than=0.0) > 0 and s.read().count() == 41 and s.version() == version
+
+
+def test_writers_at_once_lose_nothing(spark, tmp_path):
+    """4 writers with 120 blocks each."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    ship(spark)
+    path = str(tmp_path / "s")
+
+    def write(w):
+        return store.Snapshots(spark, path, buckets=4).upsert(rows(spark, [(f"w{w}", i, f"text {w} {i}") for i in range(120)]), embed(), now()).collect()
+
+    with ThreadPoolExecutor(4) as pool:
+        done = list(pool.map(write, range(4)))
+    assert [r[0]["stored"] for r in done] == [120] * 4
+    s = store.Snapshots(spark, path)
+    assert s.read().count() == 480 and s.version() == 4
+
+
+def test_files_of_one_stem_do_not_mix_at_random(spark):
+    df = spark.createDataFrame([("r:0", "a.docx", "x"), ("r:0", "b.pdf", "y"), ("r:1", "a.docx", "z")], "block_id string, source_file string, text string")
+    assert {r["block_id"]: r["text"] for r in store.one_a_block(df).collect()} == {"r:0": "y", "r:1": "z"}
+
+
+def test_listing_is_tolerant(spark, tmp_path):
+    from docloom.sources import files
+
+    for name in ("A.TXT", "b.txt", "c.xyz"):
+        (tmp_path / name).write_text("t")
+    with pytest.warns(UserWarning, match="路径不存在"):
+        got = files.read_files(spark, [str(tmp_path), str(tmp_path / "none")])
+    assert {r["file_name"]: r["extension"] for r in got.collect()} == {"A.TXT": "txt", "b.txt": "txt"}
+    with pytest.warns(UserWarning):
+        assert files.read_files(spark, [str(tmp_path / "none")]).count() == 0
+
+
+def test_busy_models_are_asked_again():
+    from docloom.operators import embedding
+
+    seen = []
+
+    def call(error):
+        seen.append(1)
+        if len(seen) < 3:
+            raise error
+        return "done"
+
+    assert embedding.tried(lambda: call(embedding.Busy(429)), wait=0) == "done" and len(seen) == 3
+    seen.clear()
+    with pytest.raises(embedding.Busy):
+        embedding.tried(lambda: call(embedding.Busy(400)), wait=0)
+    assert len(seen) == 1
