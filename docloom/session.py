@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -105,6 +106,16 @@ def release(spark: SparkSession) -> None:
         delete(spark, _ROOTS.pop())
 
 
+@contextmanager
+def scratch(spark: SparkSession, keep: Workspace):
+    """Inside, results are written to ``keep``; all other tables that were kept for them meanwhile go at the end."""
+    before = {*_ROOTS, keep.root}
+    yield
+    for root in [r for r in _ROOTS if r not in before]:
+        _ROOTS.remove(root)
+        delete(spark, root)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
