@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docloom.llm import decontaminate, mixing, ngram_join, quality, sharding
-from docloom.session import Workspace, table
+from docloom.session import Workspace, scratch, table
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,7 +14,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by 0.8 of their 5-word shingles, the one with the smallest id."""
+    """Of documents linked by 0.8 of their 5-word shingles, the one with the smallest id; rows are told apart by id and text."""
     return ngram_join.keep_first(docs, n=5, percent=80)
 
 
@@ -46,8 +46,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     work = Workspace(spark, "pipeline")
     for name, stage in STAGES:
-        docs = work.save(stage(spark, docs, sf_dir), name.replace(" ", "-"), keep=True)
+        with scratch(spark, work):
+            docs = work.save(stage(spark, docs, sf_dir), name.replace(" ", "-"), keep=True)
+        if before:
+            work.drop(before)
+        before = work.made[-1]
     return docs
