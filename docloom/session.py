@@ -13,6 +13,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
+#: Settings under which a Python worker gives memory back that it has freed: two arenas, a low threshold, and no pool of Arrow's own.
+WORKER_MEMORY = {"MALLOC_ARENA_MAX": "2", "MALLOC_TRIM_THRESHOLD_": "1000000", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
 def ship(spark: SparkSession) -> None:
@@ -25,6 +27,8 @@ def ship(spark: SparkSession) -> None:
     paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
+    for name, value in WORKER_MEMORY.items():
+        env.setdefault(name, value)
     # Texts can be long: few rows to a batch keep a worker's memory low.
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
