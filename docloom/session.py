@@ -13,8 +13,14 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
-#: Settings under which a Python worker gives memory back that it has freed: two arenas, a low threshold, and no pool of Arrow's own.
-WORKER_MEMORY = {"MALLOC_ARENA_MAX": "2", "MALLOC_TRIM_THRESHOLD_": "1000000", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+#: Settings under which a Python worker gives memory back that it has freed: two arenas, thresholds that stay as they are, and no pool
+#: of Arrow's own.  Below 16 MB an array reuses the heap, as a mapping of its own would be zeroed page by page each time.
+WORKER_MEMORY = {
+    "MALLOC_ARENA_MAX": "2",
+    "MALLOC_MMAP_THRESHOLD_": str(16 << 20),
+    "MALLOC_TRIM_THRESHOLD_": str(32 << 20),
+    "ARROW_DEFAULT_MEMORY_POOL": "system",
+}
 
 
 def ship(spark: SparkSession) -> None:
