@@ -13,28 +13,29 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
-#: Settings under which a Python worker gives memory back that it has freed: two arenas, thresholds that stay as they are, and no pool
-#: of Arrow's own.  Below 16 MB an array reuses the heap, as a mapping of its own would be zeroed page by page each time.
-WORKER_MEMORY = {
-    "MALLOC_ARENA_MAX": "2",
-    "MALLOC_MMAP_THRESHOLD_": str(16 << 20),
-    "MALLOC_TRIM_THRESHOLD_": str(32 << 20),
-    "ARROW_DEFAULT_MEMORY_POOL": "system",
-}
+#: Settings under which a Python worker gives memory back that it has freed: two arenas, a low threshold, and no pool of Arrow's own.
+WORKER_MEMORY = {"MALLOC_ARENA_MAX": "2", "MALLOC_TRIM_THRESHOLD_": "1000000", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+#: The same for work on many arrays of some MB: below 16 MB they reuse the heap, as mappings of their own are zeroed page by page.
+ARRAY_MEMORY = WORKER_MEMORY | {"MALLOC_MMAP_THRESHOLD_": str(16 << 20), "MALLOC_TRIM_THRESHOLD_": str(32 << 20)}
+_PUT: dict[str, str] = {}
 
 
-def ship(spark: SparkSession) -> None:
+def ship(spark: SparkSession, memory: dict[str, str] = WORKER_MEMORY) -> None:
     """Let Python workers import this package where they share the driver's files.
 
     On a cluster the package travels by ``--py-files``; the extra path is then
-    simply absent on the executors.
+    simply absent on the executors.  Functions made until the next call run in
+    workers with the settings ``memory``, but for those the session has itself.
     """
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
-    for name, value in WORKER_MEMORY.items():
-        env.setdefault(name, value)
+    for name in [n for n, value in _PUT.items() if env.get(n) == value]:
+        del env[name]
+    _PUT.clear()
+    _PUT.update({name: value for name, value in memory.items() if name not in env})
+    env.update(_PUT)
     # Texts can be long: few rows to a batch keep a worker's memory low.
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
