@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from docloom.llm.names import col, fresh, rest
-from docloom.session import ship
+from docloom.session import ARRAY_MEMORY, ship
 
 DIMS, MOST, RIDGE, CLOSE = 4096, 2400, 0.3, 0.6
 #: Characters that are counted at once; longer texts are counted in such pieces.
@@ -154,7 +154,7 @@ def held_out(ident: Column) -> Column:
 def fit(docs: DataFrame, most: int = MOST, text: str = "text", lang: str = "lang", ident: str = "doc_id") -> Model:
     """Learns from at most ``most`` texts with a language, none held out."""
     spark = docs.sparkSession
-    ship(spark)
+    ship(spark, ARRAY_MEMORY)
     able = docs.select(col(ident).alias("i"), col(lang).alias("l"), col(text).alias("t")).where(F.col("l").isNotNull() & F.col("t").isNotNull() & ~held_out(F.col("i")))
     able = able.withColumn("h", F.xxhash64("i", "t"))
     found = {r["l"]: r["n"] for r in able.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(most).collect()}
@@ -179,7 +179,7 @@ def fit(docs: DataFrame, most: int = MOST, text: str = "text", lang: str = "lang
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with lang_pred, score and ambiguous; columns of these names are replaced."""
-    ship(docs.sparkSession)
+    ship(docs.sparkSession, ARRAY_MEMORY)
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, ambiguous boolean")
