@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from docloom.functions import text as X
 from docloom.operators import embedding, evaluate, layout, qa, retrieval
 from docloom.plans import sqltext as Q
-from docloom.plans.registry import ORACLE_SQL, QUERIES, SQL_BLOCKS, SQL_PAIRS, doc_blocks, docs_of, query, texts_of, vectors
+from docloom.plans.registry import ORACLE_SQL, QUERIES, SQL_BLOCKS, SQL_PAIRS, SQL_YEARS, doc_blocks, docs_of, query, texts_of, vectors
 from docloom.session import ship, table
 from docloom.streaming import inbox
 
@@ -259,11 +259,27 @@ def e1_block_retrieval(spark, d):
     return retrieval.search(asked, blocks, 5).select("query_id", "rank", "block_id", F.round("distance", 6).alias("distance"))
 
 
-@query()
+_QUESTIONS = "case when item_id % 5 = 0 then 'hello' when item_id % 3 = 1 then concat(text, ' ', 2000 + item_id % 45) else text end"
+
+
+@query(
+    f"""with {_SQL_NEAR.replace("select 'q', item_id::varchar, text from", f"select 'q', item_id::varchar, {_QUESTIONS} from")},
+    asked as (select item_id as query_id, {_QUESTIONS} as q, {SQL_YEARS.format(_QUESTIONS)} as ys from benchmark),
+    routed as (select query_id, case when len(ys) > 0 then list_sort(list_distinct(list_transform(ys, lambda y: y::int))) end as years,
+      length({Q.strip('q')}) <= 40 and (contains(lower(q), 'hi') or contains(lower(q), 'hello') or contains(q, '你好') or contains(q, '谢谢')) as greeting from asked),
+    dated as (select n.*, b.doc_id, a.years, coalesce(list_contains(a.years, {SQL_YEARS.format('b.title')}[1]::int), false) as fits
+      from near n join blocks b using (block_id) join routed a using (query_id) where not a.greeting),
+    ranked as (select *, row_number() over (partition by query_id order by dist, block_id) as ra, row_number() over (partition by query_id, fits order by dist, block_id) as rf from dated),
+    judged as (select query_id, max(doc_id) filter (where ra = 1) as top, list(doc_id) filter (where fits and rf <= {X.TOP_K}) as own, any_value(years) as years from ranked group by query_id)
+    select query_id, case when greeting then '{qa.GREETING}' else '{qa.NO_MODEL}' || chr(10) || chr(10) || '{X.NO_SOURCE_HINT}' end as answer, 0 as sources,
+      case when not greeting then concat_ws('；', case when r.years is not null and not coalesce(list_contains(own, top), false)
+        then '知识库无 [' || array_to_string(r.years, ', ') || '] 年相关文档，已按语义不限年份检索（“' || top || '” 的近期文档）' end, 'chat 未可用（无 Key/调用失败）') end as note,
+      not greeting as degraded from routed r left join judged using (query_id)"""
+)
 def qa_answers_without_model(spark, d):
-    """Rows only: routing, search, and the answers given where no model can be reached."""
+    """Routing, search by years, and the answers given where no model can be reached."""
     ship(spark)
     run = embedding.embed()
     blocks = doc_blocks(spark, d).withColumn("embedding", run("text"))
-    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 5 == 0, "hello").otherwise(F.col("text")).alias("question"))
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.expr(_QUESTIONS).alias("question"))
     return qa.answered(asked.withColumn("embedding", run("question")), blocks).select("query_id", "answer", F.size("sources").alias("sources"), "note", "degraded")
