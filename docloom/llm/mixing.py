@@ -99,7 +99,9 @@ def mix_plan(docs: DataFrame, seed: int = 17, text: str = "text", source: str =
     rows = rows.withColumns({own["class"]: class_(own["size"]), own["cell"]: F.pmod(at("h"), F.lit(cells)).cast("int")})
     inside = W.partitionBy(at("s"), at("class"), at("cell")).orderBy(at("size"), at("h"), col(ident))
     crossed = lambda i: F.floor(at("offset") + at("part") * i)
-    rows = rows.join(starts.select(*[F.col(c).alias(own[c]) for c in starts.columns]), [own["s"], own["class"], own["cell"]])
+    # Cells grow with the table, so they are never broadcast; the windows need this exchange of the rows anyway.
+    cells_of = starts.select(*[F.col(c).alias(own[c]) for c in starts.columns]).hint("shuffle_hash")
+    rows = rows.join(cells_of, [own["s"], own["class"], own["cell"]])
     rows = rows.withColumn(own["i"], at("start") + F.row_number().over(inside))
     copies = (at("whole") + crossed(at("i")) - crossed(at("i") - 1)).cast("int")
     results = [at("size").alias("size"), at("source_size").alias("source_size"), at("target").alias("target"), copies.alias("copies"), (copies * at("size")).alias("taken")]
