@@ -73,7 +73,9 @@ def mix_plan(docs: DataFrame, seed: int = 17, text: str = "text", source: str =
     size = words(col(text))
     h = F.xxhash64(F.lit(seed), col(ident).cast("string"), col(text))
     of = F.coalesce(F.concat(F.lit("="), col(source)), F.lit("null"))
-    class_ = lambda n: F.when(F.col(n) < 1, -1).otherwise(F.floor(F.log2(n) * CLASSES)).cast("int")
+    # Keys that can't be null get no filter, which would count the words a second time below it.
+    class_ = lambda n: F.coalesce(F.when(F.col(n) >= 1, F.floor(F.log2(n) * CLASSES)).cast("int"), F.lit(-1))
+    cell_ = lambda n, count: F.coalesce(F.pmod(n, F.lit(count)).cast("int"), F.lit(0))
     with Workspace(spark, "mix") as work:
         light = work.save(docs.select(of.alias("s"), h.alias("h"), size.alias("size")).withColumn("class", class_("size")), "light")
         fine = light.groupBy("s", "class", F.pmod("h", F.lit(LEAST_CELLS)).alias("c")).agg(F.count("*").alias("n"), F.sum("size").alias("w"))
@@ -90,13 +92,13 @@ def mix_plan(docs: DataFrame, seed: int = 17, text: str = "text", source: str =
             consts.append((key, all_, float(aims[name]), int(rate), rate - int(rate), offset))
         known = spark.createDataFrame(consts, "s string, source_size long, target double, whole int, part double, offset double")
         before = W.partitionBy("s").orderBy("class", "cell").rowsBetween(W.unboundedPreceding, -1)
-        starts = light.groupBy("s", "class", F.pmod("h", F.lit(cells)).cast("int").alias("cell")).agg(F.count("*").alias("n"))
+        starts = light.groupBy("s", "class", cell_("h", cells).alias("cell")).agg(F.count("*").alias("n"))
         starts = starts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).join(known, "s").drop("n")
         starts = work.save(starts, "starts", keep=True)
     own = dict(zip(("s", "class", "cell", "source_size", "target", "whole", "part", "offset", "start", "h", "i", "size"), fresh(docs, *"_s _class _cell _all _aim _whole _part _offset _start _h _i _size".split())))
     at = lambda name: F.col(own[name])
     rows = docs.withColumns({own["size"]: size, own["h"]: h, own["s"]: of})
-    rows = rows.withColumns({own["class"]: class_(own["size"]), own["cell"]: F.pmod(at("h"), F.lit(cells)).cast("int")})
+    rows = rows.withColumns({own["class"]: class_(own["size"]), own["cell"]: cell_(at("h"), cells)})
     inside = W.partitionBy(at("s"), at("class"), at("cell")).orderBy(at("size"), at("h"), col(ident))
     crossed = lambda i: F.floor(at("offset") + at("part") * i)
     # Cells grow with the table, so they are never broadcast; the windows need this exchange of the rows anyway.
