@@ -136,7 +136,9 @@ def shard(docs: DataFrame, shards: int = 16, tolerance: float = 0.005, text: str
     with Workspace(spark, "shard") as work:
         keys = work.save(docs.select(*[k.alias(n) for k, n in zip(keys_, ("_k1", "_k2", "_w"))]), "keys")
         total = keys.agg(F.sum("_w")).first()[0] or 0
-        part = _part_of(splitters(keys, shards, tolerance * total / shards))
+        told = _part_of(splitters(keys, shards, tolerance * total / shards))
+        # A key that can't be null gets no filter, which would tell the parts a second time below it.
+        part = lambda k1, k2: F.coalesce(told(k1, k2), F.lit(0))
         bits = min(BITS, max(LEAST_BITS, (total // CELL_BYTES).bit_length()))
         bucket = lambda k1: F.shiftrightunsigned(k1, BITS - bits)
         light = keys.select(part("_k1", "_k2").alias("shard"), F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), bucket("_k1").alias("bucket"), "_w")
