@@ -25,7 +25,7 @@ def windows(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    return F.filter(F.split(text, X.SENTENCE_END, -1), lambda s: X.strip(s) != "")
+    return F.filter(F.split(text, X.SENTENCE_END, -1), lambda s: s.rlike(r"(?U)[^\s\x1c-\x1f]"))
 
 
 def cut_paragraph(text: Column) -> Column:
@@ -63,7 +63,7 @@ def pack(parts: Column) -> Column:
 
 def split_oversized(text: Column) -> Column:
     """Paragraphs between empty lines, long ones cut, all packed again."""
-    found = F.filter(F.transform(F.split(text, r"(?U)\n[\s\x1c-\x1f]*\n", -1), X.strip), lambda p: p != "")
+    found = F.filter(F.transform(F.split(text, r"(?U)\n[\s\x1c-\x1f]*\n", -1), X.strip_long), lambda p: p != "")
     return pack(F.flatten(F.transform(found, lambda p: F.when(F.length(p) > X.MAX, cut_paragraph(p)).otherwise(F.array(p)))))
 
 

@@ -12,7 +12,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -38,7 +37,7 @@ def line_text(spans: Column) -> Column:
         return F.struct(F.concat(st["out"], F.when(gap, " ").otherwise(""), F.coalesce(s["text"], F.lit(""))).alias("out"), s["x1"].alias("end"))
 
     start = F.struct(F.lit("").alias("out"), F.lit(None).cast("double").alias("end"))
-    return X.strip(F.aggregate(spans, start, add, lambda st: st["out"]))
+    return X.strip_long(F.aggregate(spans, start, add, lambda st: st["out"]))
 
 
 def text_block(lines: Column) -> Column:
@@ -47,8 +46,10 @@ def text_block(lines: Column) -> Column:
 
 def table_text(rows: Column) -> Column:
     """Cells with white space folded, joined by `` | ``; null and blank cells and empty rows go."""
-    cell = lambda c: X.strip(F.regexp_replace(c, rf"{X.SPACE}+", " "))
-    row = lambda r: F.array_join(F.filter(F.transform(r, cell), lambda c: c.isNotNull() & (c != "")), " | ")
+    cell = lambda c: F.trim(F.regexp_replace(c, rf"{X.SPACE}+", " "))
+    # Most rows have no white space in their cells: one look at the row tells.
+    folded = lambda r: F.when(F.array_join(r, "").rlike(X.SPACE), F.transform(r, cell)).otherwise(r)
+    row = lambda r: F.array_join(F.filter(folded(r), lambda c: c != ""), " | ")
     return F.array_join(F.filter(F.transform(rows, row), lambda t: t != ""), "\n")
 
 
@@ -118,12 +119,6 @@ def chain_tables(pages: list[list[dict]]) -> list[list[dict]]:
     return pages
 
 
-def _chains(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values("page", kind="stable")
-    pages = chain_tables([[dict(p) for p in parts] for parts in group["parts"]])
-    return pd.DataFrame({"doc_id": group["doc_id"], "page": group["page"], "parts": pages})
-
-
 def chain_rows(rows: DataFrame, column: str) -> DataFrame:
     """The same for documents that are one row, whose ``column`` is array<array<PART>>, a page after the other."""
 
@@ -136,31 +131,31 @@ def chain_rows(rows: DataFrame, column: str) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
-def chained(pages: DataFrame) -> DataFrame:
-    """pages (doc_id, page, parts) with the tables of each document chained."""
-    ship(pages.sparkSession)
-    kind = dict(pages.dtypes)
-    return pages.select("doc_id", "page", "parts").groupBy("doc_id").applyInPandas(_chains, f"doc_id {kind['doc_id']}, page {kind['page']}, parts array<{PART}>")
+def split_table(text: Column) -> Column:
+    """A long table by rows, each piece led by the first row; one long row stays whole.
 
+    Rows, the first one and its length are bound: the fold names them at every row.
+    """
 
-def split_table(text: Column) -> Column:
-    """A long table by rows, each piece led by the first row; one long row stays whole."""
-    rows = F.split(text, X.LINE_END, -1)
-    head = F.element_at(rows, 1)
-    budget = X.MAX - F.length(head) - 4
+    def cut(t: Column) -> Column:
+        def add(st: Column, row: Column) -> Column:
+            full = (st["size"] + F.length(row) + 1 > t["budget"]) & (st["n"] > 0)
+            return F.struct(
+                F.when(full, F.concat(st["done"], F.array(st["cur"]))).otherwise(st["done"]).alias("done"),
+                F.concat(F.when(full, t["head"]).otherwise(st["cur"]), F.lit("\n"), row).alias("cur"),
+                (F.when(full, t["length"]).otherwise(st["size"]) + F.length(row) + 1).alias("size"),
+                (F.when(full, 0).otherwise(st["n"]) + 1).alias("n"),
+            )
 
-    def add(st: Column, row: Column) -> Column:
-        full = (st["size"] + F.length(row) + 1 > budget) & (st["n"] > 0)
-        return F.struct(
-            F.when(full, F.concat(st["done"], F.array(st["cur"]))).otherwise(st["done"]).alias("done"),
-            F.concat(F.when(full, head).otherwise(st["cur"]), F.lit("\n"), row).alias("cur"),
-            (F.when(full, F.length(head)).otherwise(st["size"]) + F.length(row) + 1).alias("size"),
-            (F.when(full, 0).otherwise(st["n"]) + 1).alias("n"),
-        )
+        start = F.struct(F.array().cast("array<string>").alias("done"), t["head"].alias("cur"), t["length"].alias("size"), F.lit(0).alias("n"))
+        return F.aggregate(F.slice(t["rows"], F.lit(2), F.size(t["rows"])), start, add, lambda st: F.concat(st["done"], F.array(st["cur"])))
+
+    def led(rows: Column) -> Column:
+        head = F.element_at(rows, 1)
+        measured = bound(F.length(head), lambda n: F.struct(rows.alias("rows"), head.alias("head"), n.alias("length"), (X.MAX - n - 4).alias("budget")))
+        return F.when(F.size(rows) > 1, bound(measured, cut)).otherwise(fit(text))
 
-    start = F.struct(F.array().cast("array<string>").alias("done"), head.alias("cur"), F.length(head).alias("size"), F.lit(0).alias("n"))
-    cut = F.aggregate(F.slice(rows, F.lit(2), F.size(rows)), start, add, lambda st: F.concat(st["done"], F.array(st["cur"])))
-    return F.when(F.size(rows) > 1, cut).otherwise(fit(text))
+    return bound(F.split(text, X.LINE_END, -1), led)
 
 
 def page_blocks(parts: Column, page: Column) -> Column:
@@ -201,15 +196,25 @@ def laid_out_blocks(pages: DataFrame, transcripts: DataFrame | None = None) -> D
     """(doc_id, block_seq, page, section, block_type, text): all pages in order, then the transcripts.
 
     transcripts (doc_id, page, text): their pages give no other blocks, and no tables.
+    Pages and transcripts of a document meet in one row, by one exchange.
     """
-    rows = pages.select("doc_id", "page", page_parts(F.col("items"), F.col("page_height")).alias("parts"))
-    if transcripts is not None:
-        red = transcripts.select("doc_id", "page").distinct().withColumn("_red", F.lit(True))
-        rows = rows.join(red, ["doc_id", "page"], "left").withColumn("parts", F.when(F.col("_red"), F.array().cast(f"array<{PART}>")).otherwise(F.col("parts"))).drop("_red")
-    found = chained(rows).select("doc_id", "page", F.lit(0).alias("tail"), page_blocks(F.col("parts"), F.col("page")).alias("blocks"))
+    ship(pages.sparkSession)
+    kept, text = f"array<{PART}>", F.lit(None).cast("string")
+    rows = pages.select("doc_id", "page", page_parts(F.col("items"), F.col("page_height")).cast(kept).alias("parts"), text.alias("text"), F.lit(False).alias("told"))
     if transcripts is not None:
-        told = transcript_blocks(F.col("text"), F.col("page"))
-        found = found.unionByName(transcripts.select("doc_id", "page", F.lit(1).alias("tail"), told.alias("blocks")))
-    ordered = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("tail", "page", "blocks"))).alias("p"))
-    flat = F.flatten(F.transform("p", lambda p: F.transform(p["blocks"], lambda b: F.struct(p["page"].alias("page"), b.alias("b")))))
-    return ordered.select("doc_id", F.posexplode(flat).alias("block_seq", "x")).select("doc_id", "block_seq", "x.page", "x.b.section", "x.b.block_type", "x.b.text")
+        rows = rows.unionByName(transcripts.select("doc_id", "page", F.lit(None).cast(kept).alias("parts"), "text", F.lit(True).alias("told")))
+    # Pages without a number are chained last and stand first, as rows without a value are sorted.
+    row = F.struct(F.col("page").isNull().alias("unnumbered"), "page", "parts", "text", "told")
+    docs = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("r"))
+    of = lambda told: F.filter("r", lambda r: r["told"] == told)
+    docs = docs.select("doc_id", of(False).alias("p"), F.transform(of(True), lambda r: F.struct(r["page"].alias("page"), r["text"].alias("text"))).alias("told"))
+    red = lambda p: F.coalesce(F.exists("told", lambda t: t["page"] == p["page"]), F.lit(False))
+    docs = docs.select(
+        "doc_id", "told", F.transform("p", lambda p: p["page"]).alias("pages"), F.transform("p", lambda p: F.when(red(p), F.array().cast(kept)).otherwise(p["parts"])).alias("parts")
+    )
+    cut = lambda page, blocks: F.struct(page.alias("page"), blocks.alias("blocks"))
+    read = F.zip_with("pages", "parts", lambda page, parts: cut(page, page_blocks(parts, page)))
+    told = F.transform("told", lambda t: cut(t["page"], transcript_blocks(t["text"], t["page"])))
+    flat = F.flatten(F.transform(F.concat(F.array_sort(read), F.array_sort(told)), lambda p: F.transform(p["blocks"], lambda b: F.struct(p["page"].alias("page"), b.alias("b")))))
+    found = chain_rows(docs, "parts").select("doc_id", F.posexplode(flat).alias("block_seq", "x"))
+    return found.select("doc_id", "block_seq", "x.page", "x.b.section", "x.b.block_type", "x.b.text")

@@ -1,5 +1,7 @@
 """Laid-out pages: reading order, chained tables, groups of parts."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from docloom.operators import layout
@@ -63,3 +65,25 @@ def test_rows_are_never_cut(spark):
     [got] = [r["x"] for r in spark.range(1).select(layout.split_table(F.lit(long)).alias("x")).collect()]
     assert [x.split("\n")[0] for x in got] == ["h" * 100] * len(got)
     assert [len(x.split("\n")) - 1 for x in got] == [1, 1, 1, 1, 1] and "w" * 1500 in got[-1]
+
+
+def test_table_of_many_rows_is_cut_in_linear_time(spark):
+    began = time.perf_counter()
+    rows = "\n".join(["head"] + [f"{i} " + "r" * 60 for i in range(4000)])
+    [got] = [r["x"] for r in spark.createDataFrame([(rows,)], "t string").select(layout.split_table(F.col("t")).alias("x")).collect()]
+    assert [line for x in got for line in x.split("\n")[1:]] == rows.split("\n")[1:]
+    assert time.perf_counter() - began < 30
+
+
+def test_pages_and_transcripts_meet_in_one_exchange(spark):
+    pages = spark.createDataFrame([("d", 1, 1000.0, [text("a", 10)])], f"doc_id string, page int, page_height double, items {layout.ITEMS}")
+    told = spark.createDataFrame([("d", 2, "b"), ("only", 1, "c"), ("only", None, "e")], "doc_id string, page int, text string")
+    found = layout.laid_out_blocks(pages, told)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = {(r["doc_id"], r["block_seq"], r["page"], r["text"]) for r in found.collect()}
+    assert got == {("d", 0, 1, "a"), ("d", 1, 2, "b"), ("only", 0, None, "e"), ("only", 1, 1, "c")}
+
+
+def test_white_space_of_cells_and_ends(spark):
+    got = blocks(spark, [[table([[" a \x1cb ", "c"], ["d", None, ""], [" ", "\t"]], 300, 400), text("　x y\x85", 500), text("\n12 ", 600)]])
+    assert got == [(1, "table", "a b | c\nd"), (1, "page", "x y")]
