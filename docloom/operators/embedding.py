@@ -23,6 +23,8 @@ DIMS = 256
 BATCH, TRIES = 10, 3
 #: Seconds before the second try; doubled before each later one.
 WAIT = 0.5
+#: Code points whose pairs have a table, and characters counted at once.
+DENSE, CHARS = 1024, 1 << 20
 
 
 class Busy(Exception):
@@ -63,6 +65,7 @@ def bucket(bigram: str, dims: int = DIMS) -> int:
 class Bigrams:
     def __init__(self, dims: int = DIMS):
         self.dims, self.known = dims, {}
+        self.table = np.full(DENSE * DENSE, -1, np.int32)
 
     def counts(self, text: str | None) -> np.ndarray:
         """Each different bigram is looked up once a text."""
@@ -75,14 +78,45 @@ class Bigrams:
             at[i] = b
         return np.bincount(at, n, self.dims).astype(np.int64)
 
-    def __call__(self, texts: list[str]) -> list[list[float]]:
-        out = []
-        for t in texts:
-            c = self.counts(t).astype(float)
-            size = np.sqrt((c**2).sum())
-            out.append((c / size if size else c).tolist())
+    def buckets(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """The bucket of each pair of code points: by a table for those under DENSE, else a look a different pair."""
+        near = (first < DENSE) & (second < DENSE)
+        out = np.empty(len(first), np.int64)
+        at = first[near] * DENSE + second[near]
+        found = self.table[at]
+        if len(new := np.unique(at[found < 0])):
+            self.table[new] = [bucket(chr(p // DENSE) + chr(p % DENSE), self.dims) for p in new.tolist()]
+            found = self.table[at]
+        out[near] = found
+        if not near.all():
+            pairs, back = np.unique((first[~near] << 21) | second[~near], return_inverse=True)
+            for p in pairs.tolist():
+                if p not in self.known:
+                    self.known[p] = bucket(chr(p >> 21) + chr(p & 0x1FFFFF), self.dims)
+            out[~near] = np.array([self.known[p] for p in pairs.tolist()], np.int64)[back]
         return out
 
+    def matrix(self, texts: list[str | None]) -> np.ndarray:
+        """The unit vectors of texts, a row each; all pairs of code points of CHARS characters are counted at once."""
+        texts = [t or "" for t in texts]
+        out, a = np.zeros((len(texts), self.dims)), 0
+        while a < len(texts):
+            b, size = a + 1, len(texts[a])
+            while b < len(texts) and size + len(texts[b]) <= CHARS:
+                size += len(texts[b])
+                b += 1
+            code = np.frombuffer("".join(texts[a:b]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+            row = np.repeat(np.arange(b - a), [len(t) for t in texts[a:b]])
+            inside = row[:-1] == row[1:]
+            at = row[:-1][inside] * self.dims + self.buckets(code[:-1][inside], code[1:][inside])
+            out[a:b] = np.bincount(at, minlength=(b - a) * self.dims).reshape(b - a, self.dims)
+            a = b
+        size = np.sqrt((out**2).sum(axis=1, keepdims=True))
+        return out / np.where(size > 0, size, 1.0)
+
+    def __call__(self, texts: list[str]) -> list[list[float]]:
+        return self.matrix(texts).tolist()
+
 
 def embed(provider: Provider | None = None):
     """A function from a text column to array<float>; calls the provider with at most BATCH texts, and again if it can't serve now."""
@@ -91,6 +125,9 @@ def embed(provider: Provider | None = None):
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         call = provider or Bigrams()
         for part in parts:
+            if isinstance(call, Bigrams):
+                yield pd.Series(list(call.matrix(list(part)).astype(np.float32)), dtype=object)
+                continue
             texts, out = list(part), []
             for a in range(0, len(texts), BATCH):
                 out += tried(lambda: call(texts[a : a + BATCH]))  # noqa: B023

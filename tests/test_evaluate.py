@@ -2,10 +2,11 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.operators import evaluate, qa, quality_gate, retrieval, transcribe
+from docloom.operators import embedding, evaluate, qa, quality_gate, retrieval, transcribe
 
 
 def frame(spark, rows, schema):
@@ -163,3 +164,38 @@ def test_year_arbitration_is_limited_before_the_shuffle(spark):
     q = frame(spark, [("own", [2025], [0.0, 1.0])], "query_id string, years array<int>, embedding array<float>")
     plan = retrieval.year_aware(q, store(spark), 3)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") >= 2
+
+
+def _near(spark):
+    """Blocks of small whole components, so many distances are equal, and rows without a sound vector; queries with years and without."""
+    rows = [(f"b{i * 37 % 400:03d}", f"d{i % 9}", 2000 + i % 7 if i % 5 else None, [float(i % 3), float(i * 7 % 4), float(i % 2)]) for i in range(400)]
+    odd = [("x0", "d", 2001, None), ("x1", "d", 2001, [float("nan"), 0.0, 0.0]), ("x2", "d", 2001, [1.0]), ("x3", "d", 2001, [1.0, None, 0.0])]
+    blocks = frame(spark, rows + odd, "block_id string, doc_id string, doc_year int, embedding array<float>").repartition(5)
+    asked = [(i, [[2001, 2003], None, [2099]][i % 3], [0.1 * i, 1.0, 0.5]) for i in range(12)]
+    return rows, blocks, asked, frame(spark, asked, "query_id int, years array<int>, embedding array<float>")
+
+
+def _plain(rows, v, k, years=None):
+    v = np.array(v, np.float32).astype(float)
+    dist = sorted((sum((a - b) ** 2 for a, b in zip(v, e)), b) for b, _, y, e in rows if years is None or y in years)
+    return [(n, b, d) for n, (d, b) in enumerate(dist[:k], 1)]
+
+
+def test_search_estimates_in_batches_and_is_exact(spark):
+    rows, blocks, asked, q = _near(spark)
+    found = retrieval.search(q.drop("years"), blocks.drop("doc_year"), 6)
+    assert "NestedLoopJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {i: [] for i, _, _ in asked}
+    for r in found.orderBy("rank").collect():
+        got[r["query_id"]].append((r["rank"], r["block_id"], r["distance"]))
+    assert got == {i: _plain(rows, v, 6) for i, _, v in asked}
+    assert retrieval.search(q.drop("years"), blocks.where("block_id = 'b003'"), 6).count() == 12
+    assert retrieval.search(q.drop("years").limit(0), blocks, 6).count() == 0
+
+
+def test_embedding_of_batches_is_that_of_each_text(spark):
+    texts = ["", None, "a", "ab", "你好，ab 你好", "x" * 50, "é😀é😀", "the cat and the hat"]
+    many = embedding.Bigrams().matrix(texts)
+    for t, v in zip(texts, many):
+        c = embedding.Bigrams().counts(t).astype(float)
+        assert v.tolist() == (c / (np.sqrt((c**2).sum()) or 1.0)).tolist()
