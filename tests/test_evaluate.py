@@ -199,3 +199,16 @@ def test_embedding_of_batches_is_that_of_each_text(spark):
     for t, v in zip(texts, many):
         c = embedding.Bigrams().counts(t).astype(float)
         assert v.tolist() == (c / (np.sqrt((c**2).sum()) or 1.0)).tolist()
+
+
+def test_search_by_years_estimates_in_batches_and_is_exact(spark):
+    rows, blocks, asked, q = _near(spark)
+    found = retrieval.year_aware(q, blocks, 4)
+    assert "NestedLoopJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {i: [] for i, _, _ in asked}
+    for r in found.orderBy("rank").collect():
+        got[r["query_id"]].append((r["rank"], r["block_id"], r["distance"]))
+    of = {b: d for b, d, _, _ in rows}
+    for i, years, v in asked:
+        any_year, own = _plain(rows, v, 4), _plain(rows, v, 4, years) if years else []
+        assert got[i] == (own if any(of[b] == of[any_year[0][1]] for _, b, _ in own) else any_year)
